@@ -61,16 +61,36 @@ def _elements(tokens: np.ndarray) -> np.ndarray:
     return np.sort(_mix(tokens.view(np.uint64) + (row - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
 
 
-def _bag_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token hashes of each record become its element set."""
-    for batch in batches:
-        lists = batch.column("tokens")
-        offsets = lists.offsets.to_numpy()
-        values = lists.flatten().to_numpy(zero_copy_only=False)
-        offsets = offsets - offsets[0]
-        parts = [_elements(values[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], names=["id", "elements"])
+def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, in order."""
+    if width == 1:
+        return hashes
+    n = len(hashes) - width + 1
+    if n < 1:
+        return hashes[:0]
+    key = np.zeros(n, np.uint64)
+    for j in range(width):
+        key = _mix(key * np.uint64(3) ^ hashes[j : j + n].view(np.uint64))
+    return key.view(np.int64)
+
+
+def _bag_kernel(width: int, least: int):
+    """Arrow kernel: the element set of each record of at least ``least`` words and one run of ``width``."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            offsets = lists.offsets.to_numpy()
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            offsets = offsets - offsets[0]
+            sizes = np.diff(offsets)
+            use = np.flatnonzero(sizes >= max(least, width))
+            parts = [_elements(_grams(values[offsets[i] : offsets[i + 1]], width)) for i in use]
+            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            ends = np.r_[0, np.cumsum(sizes[use] - width + 1)].astype(np.int32)
+            yield pa.record_batch([batch.column("id").take(pa.array(use)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "elements"])
+
+    return kernel
 
 
 def _band_kernel(bands: int, rows: int):
@@ -106,14 +126,9 @@ def _band_kernel(bands: int, rows: int):
     return kernel
 
 
-def token_hashes(words: Column, width: int = 1) -> Column:
-    """64-bit hashes of the words, or of all runs of ``width`` words, in order and with repeats."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    if width == 1:
-        return hashed
-    starts = F.sequence(F.lit(1), F.size(words) - width + 1)
-    grams = F.transform(starts, lambda i: F.xxhash64(F.slice(hashed, i, F.lit(width))))
-    return F.when(F.size(words) >= width, grams).otherwise(F.array().cast("array<bigint>"))
+def token_hashes(words: Column) -> Column:
+    """64-bit hashes of the words, in order and with repeats."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
@@ -127,9 +142,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
 
 
 def near_duplicate_groups(
-    records: DataFrame, id_col: str, tokens_col: str, threshold=0.8, recall: float = 0.9999, min_tokens: int = 1, max_hashes: int = 1024
+    records: DataFrame, id_col: str, tokens_col: str, threshold=0.8, width: int = 5, recall: float = 0.9999, min_tokens: int = 1, max_hashes: int = 1024
 ) -> DataFrame:
-    """(id, group_id, class_id): a row per record of at least ``min_tokens`` tokens.
+    """(id, group_id, class_id): a row per record of at least ``min_tokens`` tokens and one run of ``width``.
+
+    Elements are the runs of ``width`` tokens; with width 1, the tokens.
 
     ``records`` has a distinct id and an array of token hashes
     (``token_hashes``) with repeats; other columns are ignored, rows with a
@@ -148,7 +165,7 @@ def near_duplicate_groups(
     num, den = t.numerator, t.denominator
     rows = records.where(F.col(id_col).isNotNull() & F.col(tokens_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"))
     kind = dict(rows.dtypes)["id"]
-    bags = rows.where(F.size("tokens") >= max(1, min_tokens)).mapInArrow(_bag_kernel, f"id {kind}, elements array<bigint>")
+    bags = rows.mapInArrow(_bag_kernel(width, max(1, min_tokens)), f"id {kind}, elements array<bigint>")
     bags = materialize(bags.withColumn("fp", F.md5(F.array_join(F.col("elements").cast("array<string>"), ","))), "bags")
     sets = bags.groupBy("fp").agg(F.min("id").alias("rep"), F.first("elements").alias("elements"))
     sets = materialize(sets.select("fp", "rep", F.size("elements").alias("n"), "elements"), "bagsets")

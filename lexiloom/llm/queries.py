@@ -54,14 +54,14 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = topn.latest_rows(_table(spark, sf, "linedocs"), "doc_id", "line_no", ["words"])
     plain = F.transform(F.filter("words", lambda w: w.isNotNull()), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{Nd}]", ""))
     rows = rows.select("doc_id", neardup.token_hashes(F.filter(plain, lambda w: w != "")).alias("tokens"))
-    return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8, min_tokens=20).withColumnRenamed("id", "doc_id")
+    return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8, width=1, min_tokens=20).withColumnRenamed("id", "doc_id")
 
 
 def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents grouped by their runs of five words, similarity 0.8 or more."""
     rows = _table(spark, sf, "documents").where("text is not null")
-    rows = rows.select("doc_id", neardup.token_hashes(quality.word_column(F.col("text")), width=5).alias("tokens"))
-    return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8).withColumnRenamed("id", "doc_id")
+    rows = rows.select("doc_id", neardup.token_hashes(quality.word_column(F.col("text"))).alias("tokens"))
+    return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8, width=5).withColumnRenamed("id", "doc_id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
