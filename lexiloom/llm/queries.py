@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.barrier import with_once
 from . import leakage, mixture, neardup, quality, setsim, terms, topn
 
 
@@ -14,21 +15,32 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _shingle_tokens(shingles: Column) -> Column:
-    """Element hashes of lower-cased shingles whose white space is single blanks.
+#: The characters with Unicode's White_Space property, but for the blank.
+_SPACES = r"\t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    The elements are cleaned as one string, since a regular expression costs
-    more to start than to run; U+0001 separates them.
+
+def shingle_tokens(rows: DataFrame, shingles: str, name: str) -> DataFrame:
+    """Adds element hashes of lower-cased shingles whose white space is single blanks; null for null.
+
+    The elements are cleaned as one string, U+0001 between them; nulls fall
+    out.  Only strings that have anything to clean, which byte searches tell,
+    meet the regular expression.
     """
-    there = F.filter(shingles, lambda x: x.isNotNull())
-    clean = F.regexp_replace(F.lower(F.array_join(there, "\x01")), r"(?U)\s{2,}|[\s&&[^ ]]", " ")
+    rows = with_once(rows, "_line", F.lower(F.array_join(shingles, "\x01")))
+    line = F.col("_line")
+    untidy = F.length(line) != F.octet_length(line)
+    for mark in ("  ", "\n", "\r", "\t", "\x0b", "\f"):
+        untidy = untidy | line.contains(mark)
+    clean = F.when(untidy, F.regexp_replace(line, f"[{_SPACES} ]{{2,}}|[{_SPACES}]", " ")).otherwise(line)
     parts = F.transform(F.split(clean, "\x01"), lambda x: F.trim(x))
-    return setsim.element_hashes(F.when(F.size(there) > 0, parts).otherwise(F.array().cast("array<string>")))
+    held = F.exists(shingles, lambda x: x.isNotNull())
+    hashes = F.when(held, setsim.element_hashes(parts)).when(F.col(shingles).isNotNull(), F.array().cast("array<bigint>"))
+    return with_once(rows, name, hashes).drop("_line")
 
 
 def _p1(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = _table(spark, sf, "shingles").select("doc_id", "built_at", _shingle_tokens(F.col("shingles")).alias("tokens"))
-    return setsim.similar_pairs(rows, "doc_id", "tokens", 0.5, latest_by="built_at", min_size=8)
+    rows = shingle_tokens(_table(spark, sf, "shingles").select("doc_id", "built_at", "shingles"), "shingles", "tokens")
+    return setsim.similar_pairs(rows.drop("shingles"), "doc_id", "tokens", 0.5, latest_by="built_at", min_size=8)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,14 +65,14 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every line document of at least 20 words with its group and class of equal bags."""
     rows = topn.latest_rows(_table(spark, sf, "linedocs"), "doc_id", "line_no", ["words"])
     plain = F.transform(F.filter("words", lambda w: w.isNotNull()), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{Nd}]", ""))
-    rows = rows.select("doc_id", neardup.token_hashes(F.filter(plain, lambda w: w != "")).alias("tokens"))
+    rows = with_once(rows, "tokens", neardup.token_hashes(F.filter(plain, lambda w: w != "")))
     return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8, width=1, min_tokens=20).withColumnRenamed("id", "doc_id")
 
 
 def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents grouped by their runs of five words, similarity 0.8 or more."""
     rows = _table(spark, sf, "documents").where("text is not null")
-    rows = rows.select("doc_id", neardup.token_hashes(quality.word_column(F.col("text"))).alias("tokens"))
+    rows = with_once(rows, "tokens", neardup.token_hashes(quality.word_column(F.col("text"))))
     return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8, width=5).withColumnRenamed("id", "doc_id")
 
 

@@ -43,12 +43,13 @@ OUTER = -1
 
 
 def element_hashes(elements: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the non-null elements of an array of strings."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(elements, lambda x: x.isNotNull()), lambda x: F.xxhash64(x))))
+    """Sorted distinct 64-bit hashes of the elements of an array of strings without nulls."""
+    return F.sort_array(F.array_distinct(F.transform(elements, lambda x: F.xxhash64(x))))
 
 
 def _fingerprint(tokens: Column) -> Column:
-    return F.md5(F.array_join(tokens.cast("array<string>"), ","))
+    """128 bits of a set, from two hashes of different seeds."""
+    return F.concat(F.hex(F.xxhash64(F.lit(1), tokens)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), tokens)))
 
 
 def _heavy(rows: DataFrame, tokens: str) -> list[int]:
