@@ -248,8 +248,8 @@ def select_mixture(sized: DataFrame, plan: list[Leaf], seed: int = 1) -> DataFra
     sums = sums.select(*path, "bin", F.coalesce(before, F.lit(0)).alias("before"), "binned")
     placed = docs.join(sums, [*path, "bin"])
     whole = placed.where("before + binned <= rest").withColumn("extra", F.lit(1))
-    none = placed.where("before > rest or (before = rest and binned > 0)").withColumn("extra", F.lit(0))
-    cut = placed.where("before < rest and before + binned > rest")
+    none = placed.where("before > rest").withColumn("extra", F.lit(0))
+    cut = placed.where("before <= rest and before + binned > rest")
     run = F.sum("size").over(Window.partitionBy(*path).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = cut.withColumn("extra", F.when(F.col("before") + run <= F.col("rest"), 1).otherwise(0))
     used = whole.unionByName(none).unionByName(cut).withColumn("copies", F.col("epochs") + F.col("extra"))
