@@ -1 +1,386 @@
-QUERIES = {}
+"""The registered queries of the core operators, each over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ranking
+from ..functions import text as tx
+from ..operators import evaluate as ev
+from ..operators import index as ix
+from ..operators import jaccard, lookup, minhash, search, simhash
+from ..sources import linedocs, sgml
+from ..sources import reviews as source_reviews
+from . import storage
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return ix.latest_reviews(_table(spark, sf, "reviews"))
+
+
+def _index(spark: SparkSession, sf: str) -> ix.Index:
+    """The index with its postings and metadata written once, so a query tokenises each text once."""
+    rows = _reviews(spark, sf)
+    index = ix.build_index(rows)
+    postings = storage.materialize(index.postings, "postings")
+    reviews = storage.materialize(index.reviews, "reviews")
+    corpus = reviews.agg(F.count("*").alias("n_reviews"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"))
+    return ix.Index(reviews, postings, ix.lexicon_of(postings), corpus)
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of queries: the first three tokens of each evaluation item; of every third item the first one
+    comes twice, and every fiftieth has a word that the collection lacks."""
+    words = tx.tokens(F.col("text"))
+    rows = _table(spark, sf, "eval_items").select("item_id", words.alias("w"))
+    twice = F.when(F.col("item_id") % 3 == 0, F.slice("w", 1, 1)).otherwise(F.array().cast("array<string>"))
+    absent = F.when(F.col("item_id") % 50 == 0, F.array(F.lit("bulba"))).otherwise(F.array().cast("array<string>"))
+    terms = F.concat(F.slice("w", 1, 3), twice, absent)
+    return rows.select(F.col("item_id").alias("query_id"), F.posexplode(terms).alias("pos", "term"))
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = linedocs.latest_lines(_table(spark, sf, "linedocs"))
+    return rows.select("doc_id", tx.plain_words(F.col("words")).alias("words"))
+
+
+def _shingle_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.posexplode(tx.shingles(F.col("words"))).alias("pos", "shingle"))
+
+
+def _signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored signatures: of each document the row built last, without the empty ones."""
+    words = ["s0", "s1", "s2", "s3"]
+    rows = _table(spark, sf, "signatures").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("built_at", *words)).alias("r"))
+    return rows.select("doc_id", *[F.col(f"r.{w}").alias(w) for w in words]).where("s0 is not null and s1 is not null and s2 is not null and s3 is not null")
+
+
+def asked(doc_id: Column) -> Column:
+    """The query set of a search: documents whose number is divisible by 50."""
+    return F.regexp_extract(doc_id, r"(\d+)$", 1).try_cast("bigint") % 50 == 0
+
+
+# Scans and scalar functions
+
+
+@query
+def tokenize_lengths(spark, sf):
+    return _reviews(spark, sf).select("review_id", F.size(tx.tokens(F.col("text"))).cast("bigint").alias("length"))
+
+
+@query
+def cropped_terms(spark, sf):
+    words = tx.tokens(F.regexp_replace(F.coalesce("text", F.lit("")), r"\W", ""))
+    rows = _table(spark, sf, "documents").select("doc_id", F.explode(words).alias("term"))
+    return rows.select("doc_id", tx.crop(F.col("term")).alias("term"))
+
+
+@query
+def review_blocks(spark, sf):
+    return source_reviews.blocks_in_texts(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def sgml_bodies(spark, sf):
+    rows = sgml.bodies_in_texts(_table(spark, sf, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "part", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query
+def line_documents(spark, sf):
+    lines = _table(spark, sf, "linedocs").where("doc_id is not null and words is not null").select("line_no", F.concat_ws(" ", F.col("doc_id"), F.col("words")).alias("value"))
+    rows = linedocs.latest_lines(linedocs.parse_lines(lines))
+    return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query
+def review_quality(spark, sf):
+    q = ranking.quality(F.col("score"), F.col("helpfulness_num"), F.col("helpfulness_den"))
+    return _reviews(spark, sf).select("review_id", F.round(q, 6).alias("quality"))
+
+
+@query
+def perturb_docs(spark, sf):
+    rows = _docs(spark, sf).withColumn("changed", tx.perturb(F.col("words"), 0.8))
+    return rows.select("doc_id", F.size(F.filter("changed", lambda w: w == "**")).cast("bigint").alias("replaced"), F.array_join("changed", " ").alias("words"))
+
+
+# The index
+
+
+@query
+def term_freqs(spark, sf):
+    return ix.term_frequencies(_reviews(spark, sf))
+
+
+@query
+def lexicon(spark, sf):
+    return ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))
+
+
+@query
+def corpus_stats(spark, sf):
+    return ix.corpus_of(_reviews(spark, sf))
+
+
+@query
+def top_terms(spark, sf):
+    words = ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))
+    return words.orderBy(F.desc("cf"), "term").limit(20)  # a report of the 20 most frequent terms
+
+
+@query
+def posting_blocks(spark, sf):
+    rows = ix.posting_lists(ix.term_frequencies(_reviews(spark, sf)))
+    return rows.select("term", "block", F.size("list").cast("bigint").alias("n"), F.get("list", F.lit(0))["review_id"].alias("first"), F.element_at("list", -1)["review_id"].alias("last"))
+
+
+@query
+def postings_delta(spark, sf):
+    return ix.delta_encode(storage.materialize(ix.term_frequencies(_reviews(spark, sf)), "postings")).select("term", "block", "seq", "gap", "tf")
+
+
+@query
+def postings_decode(spark, sf):
+    coded = ix.delta_encode(storage.materialize(ix.term_frequencies(_reviews(spark, sf)), "postings"))
+    return ix.delta_decode(storage.materialize(coded, "coded"))
+
+
+@query
+def product_runs(spark, sf):
+    return ix.product_runs(storage.materialize(_reviews(spark, sf).select("review_id", "product_id"), "products"))
+
+
+@query
+def segment_merge(spark, sf):
+    """Two segments with own review numbers, merged: even and odd ids are numbered apart, then shifted back."""
+    rows = ix.term_frequencies(_reviews(spark, sf))
+    parts = [rows.where(F.col("review_id") % 2 == k).withColumn("review_id", F.col("review_id") - 1000 * (k + 1)) for k in (0, 1)]
+    return ix.merge_segments([(part, 1000 * (k + 1)) for k, part in enumerate(parts)])[1]
+
+
+@query
+def lexicon_merge(spark, sf):
+    return ix.merge_lexicons(_table(spark, sf, "lexicon"))
+
+
+# Look-ups
+
+
+@query
+def review_lookup(spark, sf):
+    extra = spark.createDataFrame([(0,), (-2,)], "review_id bigint")
+    probes = _table(spark, sf, "postings").select("review_id").where("review_id is not null").unionByName(extra)
+    return lookup.reviews_by_id(probes, ix.review_table(_reviews(spark, sf)))
+
+
+@query
+def product_reviews(spark, sf):
+    return lookup.reviews_of_products(_table(spark, sf, "documents").select("product_id"), _reviews(spark, sf))
+
+
+@query
+def posting_lookup(spark, sf):
+    return lookup.postings_of_terms(_queries(spark, sf), ix.term_frequencies(_reviews(spark, sf)))
+
+
+@query
+def df_lookup(spark, sf):
+    return lookup.frequencies_of_terms(_queries(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "df")
+
+
+@query
+def cf_lookup(spark, sf):
+    return lookup.frequencies_of_terms(_queries(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "cf")
+
+
+# Ranked search
+
+
+@query
+def query_weights(spark, sf):
+    rows = search.query_weights(_queries(spark, sf), _index(spark, sf))
+    return rows.select("query_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def query_weights_exact(spark, sf):
+    rows = search.query_weights(_queries(spark, sf), _index(spark, sf), exact_idf=True)
+    return rows.select("query_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def vector_space_topk(spark, sf):
+    return search.vector_space_search(_queries(spark, sf), _index(spark, sf), 10)
+
+
+@query
+def language_model_topk(spark, sf):
+    return search.language_model_search(_queries(spark, sf), _index(spark, sf), 0.5, 10)
+
+
+@query
+def product_topk_vs(spark, sf):
+    return search.products_by_vector_space(_queries(spark, sf), _index(spark, sf), 10)
+
+
+@query
+def product_topk_lm(spark, sf):
+    return search.products_by_language_model(_queries(spark, sf), _index(spark, sf), 10)
+
+
+@query
+def product_search(spark, sf):
+    return search.product_search(_queries(spark, sf), _index(spark, sf), 10)
+
+
+# Near-duplicates
+
+
+@query
+def shingles(spark, sf):
+    return _shingle_rows(spark, sf).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "shingle")
+
+
+@query
+def shingles_sorted(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(tx.sorted_shingles(F.col("words"))).alias("pos", "shingle"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "shingle")
+
+
+def _sketch_rows(spark, sf, family, k):
+    found = minhash.sketches(_shingle_rows(spark, sf), minhash.salt_words(k), family)
+    return found.select("doc_id", F.posexplode("sketch").alias("k", "least")).withColumn("k", F.col("k").cast("bigint"))
+
+
+@query
+def minhash_sha256(spark, sf):
+    return _sketch_rows(spark, sf, "sha256", 50)
+
+
+@query
+def minhash_md5(spark, sf):
+    return _sketch_rows(spark, sf, "md5", 10)
+
+
+@query
+def minhash_sha512(spark, sf):
+    return _sketch_rows(spark, sf, "sha512", 10)
+
+
+def _sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored sketches: of each document the row built last, of full length and without inf or null."""
+    rows = _table(spark, sf, "sketches").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("built_at", "sketch")).alias("r"))
+    rows = rows.select("doc_id", "r.sketch")
+    return rows.where("size(sketch) = 50 and not exists(sketch, x -> x is null or x = 'inf')")
+
+
+@query
+def minhash_similar(spark, sf):
+    rows = jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.8")
+    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def minhash_search(spark, sf):
+    rows = jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
+    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def word_jaccard(spark, sf):
+    rows = jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.7")
+    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def simhash_bits(spark, sf):
+    from ..functions import bits
+
+    features = _docs(spark, sf).select("doc_id", tx.shingles(F.col("words")).alias("features")).where("size(features) > 0")
+    rows = simhash.signatures(features, "doc_id", "features")
+    return rows.select("doc_id", bits.signature_hex([F.col(w) for w in bits.WORDS]).alias("signature"))
+
+
+@query
+def simhash_hamming_pairs(spark, sf):
+    rows = storage.materialize(_signatures(spark, sf), "signatures")
+    found = simhash.hamming_search(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "0.8")
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def simhash_block_search(spark, sf):
+    rows = storage.materialize(_signatures(spark, sf), "signatures")
+    found = simhash.block_search(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "0.9", 1)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def simhash_block_pairs(spark, sf):
+    rows = storage.materialize(_signatures(spark, sf), "signatures")
+    found = simhash.block_pairs(rows, "doc_id", "0.9", 2)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+# Evaluation
+
+
+def _error_pairs(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Each document against its perturbed self: exact and estimated similarity of the shingle sets."""
+    docs = _docs(spark, sf).withColumn("changed", tx.perturb(F.col("words"), 0.8))
+    rows = docs.select("doc_id", F.explode(tx.shingles(F.col("words"))).alias("shingle"))
+    other = docs.select(F.concat("doc_id", F.lit("*")).alias("doc_id"), F.explode(tx.shingles(F.col("changed"))).alias("shingle"))
+    sketch = storage.materialize(minhash.sketches(rows.unionByName(other), minhash.salt_words(k)), "sketches")
+    sets = docs.select("doc_id", tx.shingles(F.col("words")).alias("x"), tx.shingles(F.col("changed")).alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    truth = sets.select("doc_id", jaccard.overlap_similarity(both, F.size("x"), F.size("y")).alias("truth"))
+    a = sketch.select("doc_id", F.col("sketch").alias("p"))
+    b = sketch.where("doc_id like '%*'").select(F.expr("left(doc_id, length(doc_id) - 1)").alias("doc_id"), F.col("sketch").alias("q"))
+    return truth.join(a, "doc_id").join(b, "doc_id").select("doc_id", "truth", minhash.sketch_similarity(F.col("p"), F.col("q")).alias("estimate"))
+
+
+@query
+def minhash_error(spark, sf):
+    return ev.mean_absolute_error(_error_pairs(spark, sf, 20), "truth", "estimate")
+
+
+@query
+def recall_precision(spark, sf):
+    """The query set's partners by sketches (0.5) against those by word lists (0.5), per query."""
+    found = jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
+    truth = jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.5", queries=asked(F.col("id")))
+    out = ev.recall_precision(found, truth, ["a", "b"], "a")
+    return out.select("a", "true_positives", "false_positives", "false_negatives", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+@query
+def pearson(spark, sf):
+    return ev.pearson(ix.review_table(_reviews(spark, sf)), "length", "score")
+
+
+@query
+def sample_docs(spark, sf):
+    return ev.sample_records(_docs(spark, sf).select("doc_id"), "doc_id", 100)  # sampling is the operator
+
+
+@query
+def helpful_accuracy(spark, sf):
+    """Share of reviews with votes that more than half of the voters found helpful."""
+    rows = _reviews(spark, sf).where("helpfulness_den > 0")
+    return ev.accuracy(rows, 2 * F.col("helpfulness_num") > F.col("helpfulness_den"))
