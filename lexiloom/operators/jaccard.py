@@ -15,10 +15,13 @@ BLOCK = 2_000
 
 
 def numbered_items(records: DataFrame, id_col: str, items_col: str) -> DataFrame:
-    """(id, n, item, nth): a row per item with its occurrence number, so that sets of rows are multisets."""
+    """(id, n, e): a row per item; e is a 64-bit hash of the item and its occurrence number.
+
+    Sets of such numbers are the multisets of the items.
+    """
     rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(items_col).alias("n"), F.explode(items_col).alias("item")).where("item is not null")
     counts = rows.groupBy("id", "n", "item").agg(F.count("*").cast("int").alias("c"))
-    return counts.select("id", "n", "item", F.explode(F.sequence(F.lit(1), "c")).alias("nth"))
+    return counts.select("id", "n", F.inline(F.transform(F.sequence(F.lit(1), "c"), lambda i: F.struct(F.xxhash64("item", i).alias("e")))))
 
 
 def overlap_similarity(both: Column, a: Column, b: Column) -> Column:
@@ -55,32 +58,28 @@ def similar_lists(records: DataFrame, id_col: str, items_col: str, threshold, qu
     t = Fraction(str(threshold))
     num, den = t.numerator, t.denominator
     items = materialize(numbered_items(records, id_col, items_col), "items")
-    df = items.groupBy("item", "nth").agg(F.count("*").alias("df")).where("df > 1")
-    shared = items.join(df, ["item", "nth"])
-    held = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item", "nth"))).alias("held"))
+    df = items.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    held = items.join(df, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
     need = F.expr(f"cast(ceil(cast(n as decimal(20,0)) * {num} / {den}) as int)")
     held = held.withColumn("need", need).where("size(held) >= need").withColumn("own", F.col("n") - F.size("held"))
-    held = materialize(held, "held")
-    keys = held.select("id", "n", F.explode(F.expr("slice(held, 1, n - need + 1 - own)")).alias("k")).select("id", "n", "k.item", "k.nth", "k.df")
-    keys = keys.withColumn("b", blocks(F.col("df"), BLOCK))
+    held = materialize(held.select("id", "n", "need", "own", "held", F.col("held.e").alias("es")), "held")
+    keys = held.select("id", "n", "need", "own", F.posexplode(F.expr("slice(held, 1, n - need + 1 - own)")).alias("pos", "k"))
+    keys = keys.select("id", "n", (F.col("own") + F.col("pos")).alias("pos"), "k.e", blocks(F.col("k.df"), BLOCK).alias("b"))
     left = keys.where(queries) if queries is not None else keys
     left = left.withColumn("i", block_of(F.col("id"), F.col("b"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     right = keys.withColumn("j", block_of(F.col("id"), F.col("b"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    left = left.select("item", "nth", "i", "j", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = right.select("item", "nth", "i", "j", F.col("id").alias("b"), F.col("n").alias("nb"))
+    left = left.select("e", "i", "j", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = right.select("e", "i", "j", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     order = "a <> b" if queries is not None else "a < b"
-    pairs = left.join(right, ["item", "nth", "i", "j"]).where(f"{order} and na * {num} <= nb * {den} and nb * {num} <= na * {den}").select("a", "b", "na", "nb").distinct()
-    lists = held.select("id", F.transform("held", lambda x: F.struct(x["item"].alias("item"), x["nth"].alias("nth"))).alias("x"))
-    met = pairs.join(lists.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(lists.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    # Lengths must fit, and what follows the first common item in both lists must suffice.
+    fits = f"na * {num} <= nb * {den} and nb * {num} <= na * {den} and least(na - pa, nb - pb) * {den + num} >= (na + nb) * {num}"
+    pairs = left.join(right, ["e", "i", "j"]).where(f"{order} and {fits}").select("a", "b", "na", "nb").distinct()
+    lists = held.select("id", "es")
+    met = pairs.join(lists.select(F.col("id").alias("a"), F.col("es").alias("xa")), "a").join(lists.select(F.col("id").alias("b"), F.col("es").alias("xb")), "b")
     met = met.withColumn("both", F.size(F.array_intersect("xa", "xb"))).where(f"both * {den + num} >= (na + nb) * {num}")
     return met.select("a", "b", overlap_similarity(F.col("both"), F.col("na"), F.col("nb")).alias("similarity"))
 
 
-def reach_of(words: Column) -> Column:
-    """Size of a word list as BIGINT, null for null."""
-    return F.when(words.isNotNull(), F.size(words).cast("bigint"))
-
-
 def ranked_by_similarity(pairs: DataFrame, k: int) -> DataFrame:
     """The k most similar partners of each query in (a, b, similarity)."""
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..plans.barrier import with_once
 from ..plans.skew import block_of, blocks
 
 #: A join key is split into blocks of about so many records.
@@ -25,7 +26,7 @@ def majority(features: list[str]) -> np.ndarray | None:
     ones, n = np.zeros(256, np.int64), len(features)
     for i in range(0, n, 4096):
         part = b"".join(hashlib.sha256(f.encode()).digest() for f in features[i : i + 4096])
-        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 32), axis=1).sum(axis=0)
+        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n).view(">i8").astype(np.int64)
 
 
@@ -75,12 +76,23 @@ def hamming_search(queries: DataFrame, records: DataFrame, id_col: str, threshol
 
 
 def block_keys(rows: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
-    """(id, words, combo, key): a row per choice of b blocks, keyed by their bits."""
-    widths, choices = bits.block_choices(threshold, b)
-    starts = [sum(widths[:k]) for k in range(len(widths))]
+    """(id, words, combo, key): a row per choice of b blocks, keyed by their bits.
+
+    Choices are built up block by block, each time by an explode of the blocks
+    behind the last one chosen, so any number of them needs the same short plan.
+    """
+    widths, starts = bits.block_widths(bits.block_count(threshold) + b), [0]
+    for width in widths[:-1]:
+        starts.append(starts[-1] + width)
     words = [F.col(w) for w in bits.WORDS]
-    keys = [F.struct(F.lit(c).alias("combo"), F.concat_ws("-", *[F.hex(bits.block_column(words, starts[k], widths[k])) for k in choice]).alias("key")) for c, choice in enumerate(choices)]
-    return rows.select(F.col(id_col).alias("id"), *bits.WORDS, F.inline(F.array(*keys)))
+    cut = F.array(*[bits.block_column(words, at, width) for at, width in zip(starts, widths)])
+    made = with_once(rows.select(F.col(id_col).alias("id"), *bits.WORDS), "blocks", cut)
+    made = made.withColumns({"last": F.lit(-1), "combo": F.lit(""), "key": F.lit("")})
+    kept = ["id", *bits.WORDS, "blocks"]
+    for _ in range(b):
+        more = made.select(*kept, "last", "combo", "key", F.posexplode("blocks").alias("at", "bits")).where("at > last")
+        made = more.select(*kept, F.col("at").alias("last"), F.concat_ws("-", "combo", "at").alias("combo"), F.concat_ws("-", "key", F.hex("bits")).alias("key"))
+    return made.select("id", *bits.WORDS, "combo", "key")
 
 
 def block_search(queries: DataFrame, records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:

@@ -84,7 +84,7 @@ _SIGNATURES = """
 sg AS (SELECT doc_id, s0, s1, s2, s3 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY built_at DESC NULLS LAST) AS k FROM signatures WHERE doc_id IS NOT NULL)
        WHERE k = 1 AND s0 IS NOT NULL AND s1 IS NOT NULL AND s2 IS NOT NULL AND s3 IS NOT NULL)
 """
-_HAM = "(bit_count(xor(a.s0, b.s0)) + bit_count(xor(a.s1, b.s1)) + bit_count(xor(a.s2, b.s2)) + bit_count(xor(a.s3, b.s3)))"
+_HAM = "(" + " + ".join(f"CAST(bit_count(xor(a.s{k}, b.s{k})) AS INT)" for k in range(4)) + ")"
 _ASKED = r"TRY_CAST(regexp_extract(%s, '(\d+)$', 1) AS BIGINT) %% 50 = 0"
 _SKETCHES = """
 sk AS (SELECT doc_id, sketch FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY built_at DESC NULLS LAST) AS k FROM sketches WHERE doc_id IS NOT NULL)
@@ -201,7 +201,7 @@ ones AS (SELECT doc_id, p, count(*) AS n, sum((v >> 3) & 1) AS b3, sum((v >> 2)
 maj AS (SELECT doc_id, p, CAST((2 * b3 > n)::INT * 8 + (2 * b2 > n)::INT * 4 + (2 * b1 > n)::INT * 2 + (2 * b0 > n)::INT AS INT) AS v FROM ones)
 SELECT doc_id, string_agg(substring('0123456789abcdef', v + 1, 1), '' ORDER BY p) AS signature FROM maj GROUP BY doc_id
 """,
-    "simhash_hamming_pairs": f"WITH {_SIGNATURES} SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM sg a JOIN sg b ON a.doc_id <> b.doc_id AND {_ASKED % 'a.doc_id'} WHERE {_HAM} <= 51",
+    "simhash_hamming_pairs": f"WITH {_SIGNATURES} SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM sg a JOIN sg b ON a.doc_id <> b.doc_id AND {_ASKED % 'a.doc_id'} WHERE {_HAM} <= 76",
     "simhash_block_search": f"WITH {_SIGNATURES} SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM sg a JOIN sg b ON a.doc_id <> b.doc_id AND {_ASKED % 'a.doc_id'} WHERE {_HAM} <= 25",
     "simhash_block_pairs": f"""
 WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS doc_id, s0, s1, s2, s3 FROM sg GROUP BY s0, s1, s2, s3)

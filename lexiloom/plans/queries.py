@@ -15,6 +15,7 @@ from ..operators import jaccard, lookup, minhash, search, simhash
 from ..sources import linedocs, sgml
 from ..sources import reviews as source_reviews
 from . import storage
+from .barrier import with_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +57,7 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     rows = linedocs.latest_lines(_table(spark, sf, "linedocs"))
-    return rows.select("doc_id", tx.plain_words(F.col("words")).alias("words"))
+    return with_once(rows, "words", tx.plain_words(F.col("words")))
 
 
 def _shingle_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +117,7 @@ def review_quality(spark, sf):
 
 @query
 def perturb_docs(spark, sf):
-    rows = _docs(spark, sf).withColumn("changed", tx.perturb(F.col("words"), 0.8))
+    rows = with_once(_docs(spark, sf), "changed", tx.perturb(F.col("words"), 0.8))
     return rows.select("doc_id", F.size(F.filter("changed", lambda w: w == "**")).cast("bigint").alias("replaced"), F.array_join("changed", " ").alias("words"))
 
 
@@ -320,7 +321,7 @@ def simhash_bits(spark, sf):
 @query
 def simhash_hamming_pairs(spark, sf):
     rows = storage.materialize(_signatures(spark, sf), "signatures")
-    found = simhash.hamming_search(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "0.8")
+    found = simhash.hamming_search(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "0.7")
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -343,7 +344,7 @@ def simhash_block_pairs(spark, sf):
 
 def _error_pairs(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """Each document against its perturbed self: exact and estimated similarity of the shingle sets."""
-    docs = _docs(spark, sf).withColumn("changed", tx.perturb(F.col("words"), 0.8))
+    docs = with_once(_docs(spark, sf), "changed", tx.perturb(F.col("words"), 0.8))
     rows = docs.select("doc_id", F.explode(tx.shingles(F.col("words"))).alias("shingle"))
     other = docs.select(F.concat("doc_id", F.lit("*")).alias("doc_id"), F.explode(tx.shingles(F.col("changed"))).alias("shingle"))
     sketch = storage.materialize(minhash.sketches(rows.unionByName(other), minhash.salt_words(k)), "sketches")
