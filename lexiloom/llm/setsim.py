@@ -34,8 +34,8 @@ from .ratios import as_fraction
 
 #: Elements tracked while frequent ones are looked for; heavy ones kept, at most.
 HEAVY_TRACKED, HEAVY_ELEMENTS = 65_536, 4_096
-#: Pivots are taken among records of at most so many elements, which bounds the broadcast.
-PIVOT_ELEMENTS = 4_096
+#: Pivots are taken among records of at most so many elements, and so many times as many are looked at; both bound what is collected.
+PIVOT_ELEMENTS, PIVOT_CHOICE = 1_024, 4
 #: A key of the join inside the cells is split into blocks of about so many records.
 BLOCK = 2_000
 #: The cell of the records that no pivot has within its radius.
@@ -162,26 +162,36 @@ def _shared_light(light: DataFrame) -> DataFrame:
     return light.repartition("t").sortWithinPartitions("t").mapInArrow(kernel, "cls bigint, t bigint, df bigint")
 
 
-def _pivots(prefix: DataFrame, classes: DataFrame, pivots: int) -> list[tuple[int, np.ndarray]]:
-    """Up to ``pivots`` records from dense regions, one per region.
+def _pivots(alive: DataFrame, pivots: int, apart: float) -> list[np.ndarray]:
+    """Up to ``pivots`` records from dense regions, more than ``apart`` from each other.
 
     A record of a large group of similar ones has rare elements that many others
     hold.  Records are grouped by their most frequent prefix element, and of
-    each group the record with the smallest number stands for it.
+    each group the record with the smallest number stands for it; those of the
+    most frequent elements come first.  One that is close to a pivot already
+    taken is passed over, so that a large group doesn't fill all cells alike.
     """
-    regions = prefix.where(f"n <= {PIVOT_ELEMENTS}").select("cls", F.col("prefix")[F.size("prefix") - 1].alias("top")).groupBy(F.col("top.t").alias("t"), F.col("top.df").alias("df")).agg(F.min("cls").alias("cls"))
-    chosen = regions.orderBy(F.desc("df"), "t").limit(pivots).select("cls")
-    rows = classes.join(F.broadcast(chosen), "cls", "left_semi").select("cls", "tokens").orderBy("cls").collect()
-    return [(r["cls"], np.array(r["tokens"], dtype=np.int64)) for r in rows]
-
-
-def _cells(pivots: list[tuple[int, np.ndarray]], reach: float):
+    regions = alive.where(f"n <= {PIVOT_ELEMENTS}").select("cls", F.element_at("prefix", -1).alias("top")).groupBy("top.t", "top.df").agg(F.min("cls").alias("cls"))
+    chosen = regions.orderBy(F.desc("df"), "t").limit(PIVOT_CHOICE * pivots).select("cls", "df")
+    rows = alive.join(F.broadcast(chosen), "cls").select("cls", "df", "tokens").collect() if pivots else []
+    taken: list[np.ndarray] = []
+    for row in sorted(rows, key=lambda r: (-r["df"], r["cls"])):
+        tokens = np.array(row["tokens"], dtype=np.int64)
+        both = [len(np.intersect1d(tokens, t, assume_unique=True)) for t in taken]
+        if all(1 - c / (len(tokens) + len(t) - c) > apart for c, t in zip(both, taken)):
+            taken.append(tokens)
+            if len(taken) == pivots:
+                break
+    return taken
+
+
+def _cells(pivots: list[np.ndarray], reach: float):
     """Arrow kernel: distances of each record to the pivots, kept up to ``reach``."""
-    tokens = np.concatenate([t for _, t in pivots]) if pivots else np.empty(0, np.int64)
-    index = np.repeat(np.arange(len(pivots)), [len(t) for _, t in pivots]) if pivots else np.empty(0, np.int64)
+    tokens = np.concatenate([np.empty(0, np.int64), *pivots])
+    sizes = np.array([len(t) for t in pivots], dtype=np.int64)
+    index = np.repeat(np.arange(len(pivots)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, index = tokens[order], index[order]
-    sizes = np.array([len(t) for _, t in pivots], dtype=np.int64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +244,7 @@ def similar_classes(classes: DataFrame, threshold=0.5, pivots: int = 256, radius
     alive = alive.withColumn("own", F.expr("n - size(held)")).withColumn("length", F.expr("n - need + 1 - own"))
     alive = alive.where("length > 0").select("cls", "n", "need", "own", "tokens", F.expr("slice(held, 1, length)").alias("prefix"))
     alive = materialize(alive, "alive")
-    centres = _pivots(alive, alive, pivots)
+    centres = _pivots(alive, pivots, eps)
     near = alive.select("cls", "tokens").mapInArrow(_cells(centres, radius + eps), "cls bigint, near array<struct<cell:int,d:double>>")
     near = materialize(near, "cells")
     first = F.get("near", F.lit(0))
