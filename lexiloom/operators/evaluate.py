@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ def sample_records(records: DataFrame, id_col: str, n: int, seed: str = "1") ->
     return records.where(F.col(id_col).isNotNull()).orderBy(key, id_col).limit(n)
 
 
+def over_threshold(queries: DataFrame, records: DataFrame, id_col: str, value_col: str, metric: Callable[[Column, Column], Column], threshold: float) -> DataFrame:
+    """(a, b, similarity) of every query against every record, by any metric of two columns.
+
+    The direct comparison that other searches are judged by.  The query set is
+    small against the records; pairs of one id and pairs without a similarity
+    are left out.
+    """
+    left = queries.select(F.col(id_col).alias("a"), F.col(value_col).alias("x"))
+    right = records.select(F.col(id_col).alias("b"), F.col(value_col).alias("y"))
+    met = left.join(right, F.col("a") != F.col("b")).withColumn("similarity", metric(F.col("x"), F.col("y")))
+    return met.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
 def mean_absolute_error(pairs: DataFrame, truth: str, estimate: str, by: list[str] | None = None) -> DataFrame:
     """(by, trials, mean_error) of two similarity columns; pairs with a null in either are left out."""
     rows = pairs.where(F.col(truth).isNotNull() & F.col(estimate).isNotNull())

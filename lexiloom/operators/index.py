@@ -23,8 +23,8 @@ class Index:
     corpus: DataFrame
 
 
-def latest_reviews(reviews: DataFrame) -> DataFrame:
-    """One row per review_id: the latest load, cleaned.
+def latest_reviews(reviews: DataFrame, version: bool = False) -> DataFrame:
+    """One row per review_id: the latest load, cleaned; ``version`` keeps its loaded_at.
 
     Products are trimmed and upper-cased, a null or negative helpfulness is 0,
     a score outside 1 to 5 is null and a null text is empty; rows without
@@ -32,7 +32,8 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
     """
     kept = ["product_id", "helpfulness_num", "helpfulness_den", "score", "text"]
     rows = reviews.where("review_id is not null").groupBy("review_id").agg(F.max(F.struct("loaded_at", *kept)).alias("r"))
-    rows = rows.select("review_id", *[F.col(f"r.{c}").alias(c) for c in kept])
+    extra = ["loaded_at"] if version else []
+    rows = rows.select("review_id", *[F.col(f"r.{c}").alias(c) for c in kept + extra])
     whole = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).alias(c)
     return rows.select(
         "review_id",
@@ -41,6 +42,7 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
         whole("helpfulness_den"),
         F.when(F.col("score").between(1, 5), F.col("score")).alias("score"),
         F.coalesce("text", F.lit("")).alias("text"),
+        *extra,
     )
 
 

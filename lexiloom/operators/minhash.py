@@ -41,7 +41,8 @@ def sketches(shingle_rows: DataFrame, salts: list[str], family: str | Callable[[
 
 def sketch_similarity(a: Column, b: Column) -> Column:
     """Multiset Jaccard similarity of two sketches, whatever the position: m in common of k each give m / (2k - m)."""
-    rest = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    times = lambda side, x: F.size(F.filter(side, lambda y: y == x))
+    rest = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
     return F.try_divide(rest.cast("double"), (F.size(a) + F.size(b) - rest).cast("double"))
 
 

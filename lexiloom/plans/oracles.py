@@ -208,17 +208,25 @@ WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS doc_id, s0, s1, s2, s3 FROM sg G
 SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM r a JOIN r b ON a.doc_id < b.doc_id WHERE {_HAM} <= 25
 """,
     "minhash_error": f"""
-WITH {_DOCS}, {_PERTURBED}, {_salts(20)},
-x AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+3], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 2)) AS i FROM pt WHERE len(words) >= 4)),
-y AS (SELECT DISTINCT doc_id, array_to_string(changed[i:i+3], ' ') AS g FROM (SELECT doc_id, changed, unnest(range(1, len(changed) - 2)) AS i FROM pt WHERE len(changed) >= 4)),
-nx AS (SELECT doc_id, count(*) AS nx FROM x GROUP BY 1), ny AS (SELECT doc_id, count(*) AS ny FROM y GROUP BY 1),
-i AS (SELECT doc_id, count(*) AS c FROM x JOIN y USING (doc_id, g) GROUP BY 1),
-truth AS (SELECT doc_id, coalesce(c, 0) / (nx + ny - coalesce(c, 0)) AS truth FROM nx JOIN ny USING (doc_id) LEFT JOIN i USING (doc_id)),
-mx AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, k, min(sha256(g || ' ' || salt)) AS h FROM x, salts GROUP BY ALL) GROUP BY ALL),
-my AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, k, min(sha256(g || ' ' || salt)) AS h FROM y, salts GROUP BY ALL) GROUP BY ALL),
-est AS (SELECT doc_id, coalesce(sum(least(mx.c, my.c)), 0) AS m FROM mx JOIN my USING (doc_id, h) GROUP BY 1)
-SELECT count(*) AS trials, round(avg(abs(truth - coalesce(m, 0) / (40 - coalesce(m, 0)))), 6) AS mean_error FROM truth LEFT JOIN est USING (doc_id)
+WITH {_DOCS}, {_salts(20)}, ts AS (SELECT * FROM (VALUES ('0.9', 0.9::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.7', 0.7::DOUBLE)) AS v(t, tv)), ks AS (SELECT unnest([3, 10, 20]) AS kk),
+pd AS (SELECT doc_id, t, words, greatest(0, CAST(ceil(round(len(words) * (1 - tv) / (1 + tv), 9)) AS BIGINT) - 1) AS r FROM ld, ts),
+pt AS (SELECT doc_id, t, list_transform(words, lambda w, i: CASE WHEN i <= r THEN '**' ELSE w END) AS w FROM pd UNION ALL SELECT doc_id, '1', words FROM ld),
+x AS (SELECT DISTINCT doc_id, t, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, t, w, unnest(range(1, len(w) - 2)) AS i FROM pt WHERE len(w) >= 4)),
+n AS (SELECT doc_id, t, count(*) AS n FROM x GROUP BY ALL),
+i AS (SELECT a.doc_id, b.t, count(*) AS c FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.g = b.g AND a.t = '1' AND b.t <> '1' GROUP BY ALL),
+truth AS (SELECT a.doc_id, b.t, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS truth FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.t = '1' AND b.t <> '1' LEFT JOIN i ON i.doc_id = b.doc_id AND i.t = b.t),
+m AS (SELECT doc_id, t, k, min(sha256(g || ' ' || salt)) AS h FROM x, salts GROUP BY ALL),
+mc AS (SELECT doc_id, t, kk, h, count(*) AS c FROM m JOIN ks ON m.k < kk GROUP BY ALL),
+est AS (SELECT a.doc_id, b.t, a.kk, CAST(sum(least(a.c, b.c)) AS BIGINT) AS m FROM mc a JOIN mc b ON a.doc_id = b.doc_id AND a.kk = b.kk AND a.h = b.h AND a.t = '1' AND b.t <> '1' GROUP BY ALL)
+SELECT truth.t, ks.kk AS k, count(*) AS trials, round(avg(abs(truth - coalesce(m, 0) / (2 * ks.kk - coalesce(m, 0)))), 6) AS mean_error
+FROM truth CROSS JOIN ks LEFT JOIN est ON est.doc_id = truth.doc_id AND est.t = truth.t AND est.kk = ks.kk GROUP BY ALL
 """,
+    "sketch_over_threshold": f"""
+WITH {_SKETCHES}, i AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, unnest(sketch) AS h FROM sk) GROUP BY ALL),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(least(x.c, y.c)) AS BIGINT) AS m FROM i x JOIN i y ON x.h = y.h AND x.doc_id <> y.doc_id AND {_ASKED % 'x.doc_id'} GROUP BY 1, 2)
+SELECT a, b, round(m / (100 - m), 6) AS similarity FROM o WHERE m / (100 - m) >= 0.03
+""",
+    "streamed_lexicon": f"WITH {_INDEX} SELECT term, df, cf FROM lex",
     "recall_precision": f"""
 WITH {_SKETCHES}, {_DOCS}, {_similar('sk', 'sketch', '0.5', 'x.doc_id <> y.doc_id AND ' + _ASKED % 'x.doc_id', 'f')}, {_similar('ld', 'words', '0.5', 'x.doc_id <> y.doc_id AND ' + _ASKED % 'x.doc_id', 't')},
 j AS (SELECT coalesce(f.a, t.a) AS a, f.a IS NOT NULL AS inf, t.a IS NOT NULL AS int_ FROM f FULL JOIN t ON f.a = t.a AND f.b = t.b),

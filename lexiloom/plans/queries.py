@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -342,23 +343,53 @@ def simhash_block_pairs(spark, sf):
 # Evaluation
 
 
-def _error_pairs(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """Each document against its perturbed self: exact and estimated similarity of the shingle sets."""
-    docs = with_once(_docs(spark, sf), "changed", tx.perturb(F.col("words"), 0.8))
-    rows = docs.select("doc_id", F.explode(tx.shingles(F.col("words"))).alias("shingle"))
-    other = docs.select(F.concat("doc_id", F.lit("*")).alias("doc_id"), F.explode(tx.shingles(F.col("changed"))).alias("shingle"))
-    sketch = storage.materialize(minhash.sketches(rows.unionByName(other), minhash.salt_words(k)), "sketches")
-    sets = docs.select("doc_id", tx.shingles(F.col("words")).alias("x"), tx.shingles(F.col("changed")).alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    truth = sets.select("doc_id", jaccard.overlap_similarity(both, F.size("x"), F.size("y")).alias("truth"))
-    a = sketch.select("doc_id", F.col("sketch").alias("p"))
-    b = sketch.where("doc_id like '%*'").select(F.expr("left(doc_id, length(doc_id) - 1)").alias("doc_id"), F.col("sketch").alias("q"))
-    return truth.join(a, "doc_id").join(b, "doc_id").select("doc_id", "truth", minhash.sketch_similarity(F.col("p"), F.col("q")).alias("estimate"))
+#: Thresholds and sketch lengths of the sweep.
+SWEEP_T, SWEEP_K = ("0.9", "0.8", "0.7"), (3, 10, 20)
+
+
+def _error_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document against itself perturbed for each threshold: exact and estimated similarity of the shingle sets.
+
+    The first k minima of a sketch are the sketch of the first k salts, so one
+    sketch serves all lengths.
+    """
+    docs = _docs(spark, sf)
+    changed = F.array(F.struct(F.lit("1").alias("t"), F.col("words").alias("w")), *[F.struct(F.lit(t).alias("t"), tx.perturb(F.col("words"), float(t)).alias("w")) for t in SWEEP_T])
+    every = docs.select("doc_id", F.inline(changed))
+    every = with_once(every, "set", tx.shingles(F.col("w"))).where("size(set) > 0").select(F.struct("doc_id", "t").alias("key"), "set")
+    every = storage.materialize(every, "variants")
+    sketch = minhash.sketches(every.select("key", F.explode("set").alias("shingle")), minhash.salt_words(max(SWEEP_K)), id_col="key")
+    made = storage.materialize(every.join(sketch, "key").select("key.*", "set", "sketch"), "sketched")
+    own = made.where("t = '1'").select("doc_id", F.col("set").alias("x"), F.col("sketch").alias("p"))
+    met = made.where("t <> '1'").join(own, "doc_id")
+    truth = jaccard.overlap_similarity(F.size(F.array_intersect("x", "set")), F.size("x"), F.size("set"))
+    rows = met.select("doc_id", "t", truth.alias("truth"), "p", "sketch", F.explode(F.array(*[F.lit(k) for k in SWEEP_K])).alias("k"))
+    return rows.select("doc_id", "t", "k", "truth", minhash.sketch_similarity(F.slice("p", F.lit(1), F.col("k")), F.slice("sketch", F.lit(1), F.col("k"))).alias("estimate"))
 
 
 @query
 def minhash_error(spark, sf):
-    return ev.mean_absolute_error(_error_pairs(spark, sf, 20), "truth", "estimate")
+    return ev.mean_absolute_error(_error_trials(spark, sf), "truth", "estimate", ["t", "k"])
+
+
+@query
+def sketch_over_threshold(spark, sf):
+    """The query set against all stored sketches, by direct comparison."""
+    rows = storage.materialize(_sketches(spark, sf), "sketches")
+    found = ev.over_threshold(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "sketch", minhash.sketch_similarity, 0.03)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def streamed_lexicon(spark, sf):
+    """The lexicon of an index that a stream of review files built up, one file per micro-batch."""
+    from ..streaming import segments
+
+    path = f"{storage.shared_dir(spark)}/lexiloom/stream-{uuid.uuid4().hex}"
+    source = _table(spark, sf, "reviews")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/reviews.parquet*")
+    segments.start(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return segments.read_segments(spark, f"{path}/index").lexicon
 
 
 @query
