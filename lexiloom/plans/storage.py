@@ -63,7 +63,10 @@ def release(spark: SparkSession | None = None) -> int:
 
 @atexit.register
 def _at_exit() -> None:
+    """Local folders go with the driver; tables on another file system are left to ``release``."""
     import shutil
 
-    for path in _own.values():
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    local = [*_own.values(), *(path for _, path in _written)]
+    for path in local:
+        if path.startswith("file:") or path.startswith("/"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
