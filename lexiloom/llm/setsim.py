@@ -20,7 +20,6 @@ pair, and a record with fewer than ceil(t n) shared elements is dropped at once.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -303,8 +302,8 @@ def similar_pairs(
 
     links   (cls_a, cls_b, both, n_a, n_b)  pairs of different sets with
             Jaccard >= threshold, each once;
-    members (id, side, cls)                 the class of every record, side 0
-            for left and 1 for right.
+    members (id, side, cls, copies)         the class of every record and its
+            number of members, side 0 for left and 1 for right.
 
     Records of one class are copies of each other, and are not expanded.
     """
@@ -317,9 +316,9 @@ def similar_pairs(
     last = rows.groupBy("id", "side").agg(F.max(F.struct("v", "n", "fp")).alias("last")).select("id", "side", "last.n", "last.fp")
     members = materialize(last.where(F.col("n") >= max(1, min_size)).select("id", "side", "fp"), "members")
     sets = rows.where(F.col("n") >= max(1, min_size)).groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    sets = sets.join(members.select("fp").distinct(), "fp", "left_semi")
-    classes = materialize(sets.select(F.monotonically_increasing_id().alias("cls"), "fp", F.size("tokens").alias("n"), "tokens"), "classes")
-    members = members.join(classes.select("fp", "cls"), "fp").select("id", "side", "cls")
+    sets = sets.join(members.groupBy("fp").agg(F.count("*").alias("copies")), "fp")
+    classes = materialize(sets.select(F.monotonically_increasing_id().alias("cls"), "fp", "copies", F.size("tokens").alias("n"), "tokens"), "classes")
+    members = members.join(classes.select("fp", "cls", "copies"), "fp").select("id", "side", "cls", "copies")
     return similar_classes(classes, threshold, pivots, radius), members
 
 
@@ -327,25 +326,23 @@ def expand_pairs(links: DataFrame, members: DataFrame, within: bool = True) -> D
     """Record pairs (id_lo, id_hi) from linked classes and from copies inside a class.
 
     ``within``: pairs of different ids of one table, id_lo < id_hi.  Otherwise
-    pairs (left id, right id).  The number of rows is that of the result asked
-    for; a class of many copies is split into blocks on its way.
+    pairs (id_left, id_right).  The number of rows is that of the result asked
+    for; members of a class of many copies meet in blocks, so that no task makes
+    all pairs of a class.
     """
-    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"))
+    placed = members.withColumn("b", blocks(F.col("copies"), BLOCK)).withColumn("at", block_of(F.col("id"), F.col("b")))
+    sizes = placed.select("cls", "b", "copies").distinct()
     same = sizes.where("copies > 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     ways = links.select("cls_a", "cls_b").unionByName(same)
     if not within:
         ways = ways.unionByName(links.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b")))
-        ways = ways.unionByName(sizes.where("copies = 1").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))).distinct()
-    a = members.where("side = 0").select(F.col("cls").alias("cls_a"), F.col("id").alias("a"))
-    b = members.where("side = 0" if within else "side = 1").select(F.col("cls").alias("cls_b"), F.col("id").alias("b"))
-    out = ways.join(a, "cls_a")
+    for side in "ab":
+        ways = ways.join(sizes.select(F.col("cls").alias(f"cls_{side}"), F.col("b").alias(f"b_{side}")), f"cls_{side}")
+    ways = ways.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b_b") - 1)))
+    a = placed.where("side = 0").select(F.col("cls").alias("cls_a"), F.col("at").alias("i"), F.col("id").alias("a"))
+    b = placed.where("side = 0" if within else "side = 1").select(F.col("cls").alias("cls_b"), F.col("at").alias("j"), F.col("id").alias("b"))
+    out = ways.select("cls_a", "cls_b", "i", "j").join(a, ["cls_a", "i"]).join(b, ["cls_b", "j"])
     if not within:
-        return out.join(b, "cls_b").select(F.col("a").alias("id_left"), F.col("b").alias("id_right"))
+        return out.select(F.col("a").alias("id_left"), F.col("b").alias("id_right"))
     # Of a class with itself each pair would come twice; the ordered condition keeps one.
-    out = out.join(b, "cls_b").where("cls_a <> cls_b or a < b")
-    return out.select(F.least("a", "b").alias("id_lo"), F.greatest("a", "b").alias("id_hi"))
-
-
-def prefix_length(n: int, threshold) -> int:
-    """Number of rarest elements of which similar sets share one."""
-    return n - math.ceil(as_fraction(threshold) * n) + 1
+    return out.where("cls_a <> cls_b or a < b").select(F.least("a", "b").alias("id_lo"), F.greatest("a", "b").alias("id_hi"))

@@ -44,7 +44,7 @@ def test_similar_pairs_equal_brute_force(spark, t, num, den):
 @pytest.mark.parametrize("pivots,radius,block,heavy", [(0, 0.2, 2000, 0), (3, 0.45, 1, 0), (200, 0.0, 3, 10**6), (16, 0.3, 2, 100)])
 def test_plan_choices_change_no_result(spark, monkeypatch, pivots, radius, block, heavy):
     docs = clusters(11)
-    monkeypatch.setattr(setsim, "BLOCK", block)
+    monkeypatch.setattr(setsim, "BLOCK", block)  # both keys and copies meet in blocks
     every = [r["t"] for r in hashed(spark, docs).select(F.explode("tokens").alias("t")).distinct().collect()]
     monkeypatch.setattr(setsim, "_heavy", lambda rows, tokens: sorted(every)[:heavy])
     links, members = setsim.similar_pairs(hashed(spark, docs), "id", "tokens", 0.5, pivots=pivots, radius=radius)
