@@ -94,7 +94,7 @@ def _bag_kernel(width: int, least: int):
 
 
 def _band_kernel(bands: int, rows: int):
-    """Arrow kernel: (rep, n, band hash) of each class, a row per band."""
+    """Arrow kernel: (cls, n, band hash) of each class, a row per band."""
     seeds = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 2**63, bands * rows, dtype=np.uint64)
     salts = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -121,7 +121,7 @@ def _band_kernel(bands: int, rows: int):
                         key = _mix(key ^ mins[:, j])
                     out[i - lo] = key
                 index = pa.array(np.repeat(np.arange(lo, hi), bands))
-                yield pa.record_batch([batch.column("rep").take(index), batch.column("n").take(index), pa.array(out.reshape(-1).view(np.int64))], names=["rep", "n", "band"])
+                yield pa.record_batch([batch.column("cls").take(index), batch.column("n").take(index), pa.array(out.reshape(-1).view(np.int64))], names=["cls", "n", "band"])
 
     return kernel
 
@@ -134,8 +134,8 @@ def token_hashes(words: Column) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
     """The (a, b) of ``pairs`` whose element sets have Jaccard similarity >= threshold, compared exactly."""
     t = as_fraction(threshold)
-    left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
+    left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
     near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
     return near.where(both * (t.denominator + t.numerator) >= (F.size("x").cast("bigint") + F.size("y")) * t.numerator).select("a", "b")
@@ -168,30 +168,32 @@ def near_duplicate_groups(
     bags = rows.mapInArrow(_bag_kernel(width, max(1, min_tokens)), f"id {kind}, elements array<bigint>")
     bags = materialize(bags.withColumn("fp", F.md5(F.array_join(F.col("elements").cast("array<string>"), ","))), "bags")
     sets = bags.groupBy("fp").agg(F.min("id").alias("rep"), F.first("elements").alias("elements"))
-    sets = materialize(sets.select("fp", "rep", F.size("elements").alias("n"), "elements"), "bagsets")
-    bands, width = band_plan(threshold, recall, max_hashes)
-    keys = sets.select("rep", "n", "elements").mapInArrow(_band_kernel(bands, width), f"rep {kind}, n int, band bigint")
+    # Numbers stand for classes from here on: ids can be long, and minima of numbers are hash aggregates.
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("cls"), "fp", "rep", F.size("elements").alias("n"), "elements"), "bagsets")
+    bands, length = band_plan(threshold, recall, max_hashes)
+    keys = sets.select("cls", "n", "elements").mapInArrow(_band_kernel(bands, length), "cls bigint, n int, band bigint")
     keys = materialize(keys, "bands")
     # Buckets of one class are dropped by a count that is combined on the map side.
-    buckets = keys.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    shared = keys.join(buckets.select("band", "rows", F.col("first.rep").alias("lead"), F.col("first.n").alias("lead_n")), "band")
-    shared = materialize(shared, "shared")
+    buckets = keys.groupBy("band").agg(F.min("cls").alias("lead"), F.min_by("n", "cls").alias("lead_n"), F.count("*").alias("rows")).where("rows > 1")
+    shared = materialize(keys.join(buckets.select("band", "lead", "lead_n"), "band"), "shared")
     fits = f"n * {num} <= lead_n * {den} and lead_n * {num} <= n * {den}"
-    star = shared.where("rep <> lead").where(fits).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    star = shared.where("cls <> lead").where(fits).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     links = materialize(_verified(star, sets, threshold), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")
 
     # What is left: classes of one bucket in different components.
-    placed = shared.join(parts, shared["rep"] == parts["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    placed = shared.join(parts, shared["cls"] == parts["node"], "left").select("band", "cls", "n", F.coalesce("component", "cls").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("rows")).where("p <> q")
     open_ = materialize(placed.join(mixed.select("band", blocks(F.col("rows"), BLOCK).alias("blocks")), "band"), "open")
-    left = open_.withColumn("i", block_of(F.col("rep"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = open_.withColumn("j", block_of(F.col("rep"), F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("band", "i", "j", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = right.select("band", "i", "j", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    left = open_.withColumn("i", block_of(F.col("cls"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = open_.withColumn("j", block_of(F.col("cls"), F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("band", "i", "j", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    right = right.select("band", "i", "j", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     met = left.join(right, ["band", "i", "j"]).where(f"a < b and pa <> pb and na * {num} <= nb * {den} and nb * {num} <= na * {den}")
-    more = _verified(met.select("a", "b").distinct(), sets, threshold)
-    edges = links.unionByName(more)
-    final = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    labels = sets.select("fp", "rep").join(final, "rep", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("part", "rep").alias("group_id"))
+    more = materialize(_verified(met.select("a", "b"), sets, threshold), "more")
+    final = parts if more.isEmpty() else materialize(connected_components(links.unionByName(more), "a", "b"), "final")
+    named = final.join(sets.select(F.col("cls").alias("node"), "rep"), "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    groups = named.join(least, "component").select(F.col("node").alias("cls"), "least")
+    labels = sets.select("cls", "fp", "rep").join(groups, "cls", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("group_id"))
     return bags.select("id", "fp").join(labels, "fp").select("id", "group_id", "class_id")
