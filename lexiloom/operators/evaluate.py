@@ -48,9 +48,9 @@ def recall_precision(found: DataFrame, truth: DataFrame, keys: list[str], by: st
     return out.withColumn("recall", ratio("true_positives", "false_negatives")).withColumn("precision", ratio("true_positives", "false_positives"))
 
 
-def accuracy(hits: DataFrame, hit: Column) -> DataFrame:
-    """(trials, percent): share of rows with a hit, in percent with 2 decimals."""
-    return hits.agg(F.count("*").alias("trials"), F.round(100 * F.avg(F.when(hit, 1.0).otherwise(0.0)), 2).alias("percent"))
+def accuracy(hits: DataFrame, hit: Column, by: list[str] | None = None) -> DataFrame:
+    """(by, trials, percent): share of rows with a hit, in percent with 2 decimals."""
+    return hits.groupBy(*(by or [])).agg(F.count("*").alias("trials"), F.round(100 * F.avg(F.when(hit, 1.0).otherwise(0.0)), 2).alias("percent"))
 
 
 def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:

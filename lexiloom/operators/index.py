@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import codec
 
 #: Review ids of one block in the block-wise encodings.
 BLOCK_BITS = 16
@@ -116,6 +117,23 @@ def delta_decode(coded: DataFrame) -> DataFrame:
     return rows.select("term", (F.col("run") + F.coalesce("before", F.lit(0))).alias("review_id"), "tf")
 
 
+def varint_lists(postings: DataFrame) -> DataFrame:
+    """(term, block, n, ids, tfs): posting lists as group-varint bytes, ids as gaps from the start of their block."""
+    lists = posting_lists(postings)
+    base = F.shiftleft("block", BLOCK_BITS)
+    ids = F.transform("list", lambda x: x["review_id"])
+    gaps = F.transform(ids, lambda x, i: x - F.when(i > 0, F.get(ids, i - 1)).otherwise(base))
+    return lists.select("term", "block", F.size("list").alias("n"), codec.encode_column(gaps).alias("ids"), codec.encode_column(F.transform("list", lambda x: x["tf"])).alias("tfs"))
+
+
+def varint_postings(lists: DataFrame) -> DataFrame:
+    """(term, review_id, tf) from ``varint_lists``' rows."""
+    rows = lists.withColumn("gaps", codec.decode_column(F.col("ids"), F.col("n"))).withColumn("tf", codec.decode_column(F.col("tfs"), F.col("n")))
+    rows = rows.select("term", "block", F.posexplode(F.arrays_zip("gaps", "tf")).alias("pos", "x"))
+    run = F.sum("x.gaps").over(Window.partitionBy("term", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("term", (F.shiftleft("block", BLOCK_BITS) + run).alias("review_id"), F.col("x.tf").alias("tf"))
+
+
 def product_runs(reviews: DataFrame) -> DataFrame:
     """(product_id, first_review, last_review): runs of consecutive equal products in review order.
 

@@ -116,6 +116,21 @@ pd AS (SELECT doc_id, words, len(words) AS n, greatest(0, CAST(ceil(round(len(wo
 pt AS (SELECT doc_id, r, words, list_transform(words, lambda w, i: CASE WHEN i <= r THEN '**' ELSE w END) AS changed FROM pd)
 """
 
+_TRIALS = f"""
+WITH {_DOCS}, {_salts(20)}, ts AS (SELECT * FROM (VALUES ('0.9', 0.9::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.7', 0.7::DOUBLE)) AS v(t, tv)), ks AS (SELECT unnest([3, 10, 20]) AS kk),
+pd AS (SELECT doc_id, t, words, greatest(0, CAST(ceil(round(len(words) * (1 - tv) / (1 + tv), 9)) AS BIGINT) - 1) AS r FROM ld, ts),
+pt AS (SELECT doc_id, t, list_transform(words, lambda w, i: CASE WHEN i <= r THEN '**' ELSE w END) AS w FROM pd UNION ALL SELECT doc_id, '1', words FROM ld),
+x AS (SELECT DISTINCT doc_id, t, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, t, w, unnest(range(1, len(w) - 2)) AS i FROM pt WHERE len(w) >= 4)),
+n AS (SELECT doc_id, t, count(*) AS n FROM x GROUP BY ALL),
+i AS (SELECT a.doc_id, b.t, count(*) AS c FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.g = b.g AND a.t = '1' AND b.t <> '1' GROUP BY ALL),
+truth AS (SELECT a.doc_id, b.t, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS truth FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.t = '1' AND b.t <> '1' LEFT JOIN i ON i.doc_id = b.doc_id AND i.t = b.t),
+m AS (SELECT doc_id, t, k, min(sha256(g || ' ' || salt)) AS h FROM x, salts GROUP BY ALL),
+mc AS (SELECT doc_id, t, kk, h, count(*) AS c FROM m JOIN ks ON m.k < kk GROUP BY ALL),
+est AS (SELECT a.doc_id, b.t, a.kk, CAST(sum(least(a.c, b.c)) AS BIGINT) AS m FROM mc a JOIN mc b ON a.doc_id = b.doc_id AND a.kk = b.kk AND a.h = b.h AND a.t = '1' AND b.t <> '1' GROUP BY ALL),
+trials AS (SELECT truth.t, ks.kk AS k, truth, coalesce(m, 0) / (2 * ks.kk - coalesce(m, 0)) AS estimate
+  FROM truth CROSS JOIN ks LEFT JOIN est ON est.doc_id = truth.doc_id AND est.t = truth.t AND est.kk = ks.kk)
+"""
+
 ORACLES: dict[str, str] = {
     "tokenize_lengths": f"WITH {_INDEX} SELECT review_id, length FROM meta",
     "cropped_terms": r"""
@@ -153,6 +168,7 @@ WITH {_INDEX} SELECT term, review_id // 65536 AS block, CAST(row_number() OVER (
   review_id - coalesce(lag(review_id) OVER (PARTITION BY term ORDER BY review_id), 0) AS gap, tf FROM pst
 """,
     "postings_decode": f"WITH {_INDEX} SELECT term, review_id, tf FROM pst",
+    "postings_varint": f"WITH {_INDEX} SELECT term, review_id, tf FROM pst",
     "product_runs": f"""
 WITH {_REVIEWS}, f AS (SELECT review_id, product_id, CASE WHEN row_number() OVER (ORDER BY review_id) > 1 AND product_id IS NOT DISTINCT FROM lag(product_id) OVER (ORDER BY review_id) THEN 0 ELSE 1 END AS new FROM rv),
 r AS (SELECT *, sum(new) OVER (ORDER BY review_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
@@ -172,6 +188,7 @@ FROM p LEFT JOIN meta USING (review_id)
 WITH {_REVIEWS} SELECT product_id, review_id FROM rv WHERE product_id IN (SELECT upper(trim(product_id, {_BLANK})) FROM documents WHERE product_id IS NOT NULL)
 """,
     "posting_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, review_id, tf FROM pst WHERE term IN (SELECT term FROM qs)",
+    "stored_index_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, review_id, tf FROM pst WHERE term IN (SELECT term FROM qs)",
     "df_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, coalesce(df, 0) AS df FROM (SELECT DISTINCT term FROM qs) LEFT JOIN lex USING (term)",
     "cf_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, coalesce(cf, 0) AS cf FROM (SELECT DISTINCT term FROM qs) LEFT JOIN lex USING (term)",
     "query_weights": f"WITH {_INDEX}, {_QUERIES}, {_WT} SELECT query_id, term, round(weight, 6) AS weight FROM wt",
@@ -208,18 +225,10 @@ WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS doc_id, s0, s1, s2, s3 FROM sg G
 SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM r a JOIN r b ON a.doc_id < b.doc_id WHERE {_HAM} <= 25
 """,
     "minhash_error": f"""
-WITH {_DOCS}, {_salts(20)}, ts AS (SELECT * FROM (VALUES ('0.9', 0.9::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.7', 0.7::DOUBLE)) AS v(t, tv)), ks AS (SELECT unnest([3, 10, 20]) AS kk),
-pd AS (SELECT doc_id, t, words, greatest(0, CAST(ceil(round(len(words) * (1 - tv) / (1 + tv), 9)) AS BIGINT) - 1) AS r FROM ld, ts),
-pt AS (SELECT doc_id, t, list_transform(words, lambda w, i: CASE WHEN i <= r THEN '**' ELSE w END) AS w FROM pd UNION ALL SELECT doc_id, '1', words FROM ld),
-x AS (SELECT DISTINCT doc_id, t, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, t, w, unnest(range(1, len(w) - 2)) AS i FROM pt WHERE len(w) >= 4)),
-n AS (SELECT doc_id, t, count(*) AS n FROM x GROUP BY ALL),
-i AS (SELECT a.doc_id, b.t, count(*) AS c FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.g = b.g AND a.t = '1' AND b.t <> '1' GROUP BY ALL),
-truth AS (SELECT a.doc_id, b.t, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS truth FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.t = '1' AND b.t <> '1' LEFT JOIN i ON i.doc_id = b.doc_id AND i.t = b.t),
-m AS (SELECT doc_id, t, k, min(sha256(g || ' ' || salt)) AS h FROM x, salts GROUP BY ALL),
-mc AS (SELECT doc_id, t, kk, h, count(*) AS c FROM m JOIN ks ON m.k < kk GROUP BY ALL),
-est AS (SELECT a.doc_id, b.t, a.kk, CAST(sum(least(a.c, b.c)) AS BIGINT) AS m FROM mc a JOIN mc b ON a.doc_id = b.doc_id AND a.kk = b.kk AND a.h = b.h AND a.t = '1' AND b.t <> '1' GROUP BY ALL)
-SELECT truth.t, ks.kk AS k, count(*) AS trials, round(avg(abs(truth - coalesce(m, 0) / (2 * ks.kk - coalesce(m, 0)))), 6) AS mean_error
-FROM truth CROSS JOIN ks LEFT JOIN est ON est.doc_id = truth.doc_id AND est.t = truth.t AND est.kk = ks.kk GROUP BY ALL
+{_TRIALS} SELECT t, k, count(*) AS trials, round(avg(abs(truth - estimate)), 6) AS mean_error FROM trials GROUP BY ALL
+""",
+    "minhash_accuracy": f"""
+{_TRIALS} SELECT t, k, count(*) AS trials, round(100 * avg(CASE WHEN estimate >= 0.3 THEN 1.0 ELSE 0.0 END), 2) AS percent FROM trials GROUP BY ALL
 """,
     "sketch_over_threshold": f"""
 WITH {_SKETCHES}, i AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, unnest(sketch) AS h FROM sk) GROUP BY ALL),

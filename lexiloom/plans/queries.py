@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import evaluate as ev
 from ..operators import index as ix
 from ..operators import jaccard, lookup, minhash, search, simhash
-from ..sources import linedocs, sgml
+from ..sources import linedocs, sgml, store
 from ..sources import reviews as source_reviews
 from . import storage
 from .barrier import with_once
@@ -163,6 +163,11 @@ def postings_decode(spark, sf):
     return ix.delta_decode(storage.materialize(coded, "coded"))
 
 
+@query
+def postings_varint(spark, sf):
+    return ix.varint_postings(storage.materialize(ix.varint_lists(ix.term_frequencies(_reviews(spark, sf))), "bytes"))
+
+
 @query
 def product_runs(spark, sf):
     return ix.product_runs(storage.materialize(_reviews(spark, sf).select("review_id", "product_id"), "products"))
@@ -201,6 +206,14 @@ def posting_lookup(spark, sf):
     return lookup.postings_of_terms(_queries(spark, sf), ix.term_frequencies(_reviews(spark, sf)))
 
 
+@query
+def stored_index_lookup(spark, sf):
+    """The same look-up from an index that is written, opened again and read by term."""
+    path = f"{storage.shared_dir(spark)}/lexiloom/index-{uuid.uuid4().hex}"
+    index = store.write_index(ix.build_index(_reviews(spark, sf)), path)
+    return lookup.postings_of_terms(_queries(spark, sf), index.postings)
+
+
 @query
 def df_lookup(spark, sf):
     return lookup.frequencies_of_terms(_queries(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "df")
@@ -372,6 +385,12 @@ def minhash_error(spark, sf):
     return ev.mean_absolute_error(_error_trials(spark, sf), "truth", "estimate", ["t", "k"])
 
 
+@query
+def minhash_accuracy(spark, sf):
+    """Share of perturbed documents whose sketch is still at least 0.3 similar to the original's."""
+    return ev.accuracy(_error_trials(spark, sf), F.col("estimate") >= 0.3, ["t", "k"])
+
+
 @query
 def sketch_over_threshold(spark, sf):
     """The query set against all stored sketches, by direct comparison."""
