@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sized import small
+
 #: What a look-up of an unknown review or term gives.
 MISSING_NUMBER, MISSING_FREQUENCY = -1, 0
 
@@ -16,14 +18,15 @@ def reviews_by_id(probes: DataFrame, reviews: DataFrame) -> DataFrame:
     """
     wanted = probes.select("review_id").distinct()
     numbers = ["score", "helpfulness_num", "helpfulness_den", "length"]
-    found = wanted.join(reviews.select("review_id", "product_id", *numbers), "review_id", "left")
+    known = reviews.select("review_id", "product_id", *numbers).join(small(wanted), "review_id", "left_semi")
+    found = wanted.join(known, "review_id", "left")
     return found.select("review_id", "product_id", *[F.coalesce(F.col(c), F.lit(MISSING_NUMBER)).alias(c) for c in numbers])
 
 
 def reviews_of_products(probes: DataFrame, reviews: DataFrame) -> DataFrame:
     """(product_id, review_id) of each probed product that has reviews."""
     wanted = probes.select(F.upper(F.trim("product_id", F.lit(" \t\r\n"))).alias("product_id")).where("product_id is not null").distinct()
-    return reviews.select("product_id", "review_id").join(wanted, "product_id", "left_semi")
+    return reviews.select("product_id", "review_id").join(small(wanted), "product_id", "left_semi")
 
 
 def _terms(probes: DataFrame) -> DataFrame:
@@ -32,10 +35,11 @@ def _terms(probes: DataFrame) -> DataFrame:
 
 def postings_of_terms(probes: DataFrame, postings: DataFrame) -> DataFrame:
     """(term, review_id, tf) of each probed term, in any letter case."""
-    return postings.join(_terms(probes), "term", "left_semi").select("term", "review_id", "tf")
+    return postings.join(small(_terms(probes)), "term", "left_semi").select("term", "review_id", "tf")
 
 
 def frequencies_of_terms(probes: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(term, df, cf) of each probed term; 0 and 0 if the collection lacks it."""
-    found = _terms(probes).join(lexicon, "term", "left")
+    wanted = _terms(probes)
+    found = wanted.join(lexicon.join(small(wanted), "term", "left_semi"), "term", "left")
     return found.select("term", *[F.coalesce(F.col(c), F.lit(MISSING_FREQUENCY)).alias(c) for c in ("df", "cf")])
