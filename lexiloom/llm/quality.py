@@ -13,8 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.barrier import with_once
+
 WORDS = r"([\p{L}\p{Nd}]+)"
-NO_SYMBOL = r"[\p{L}\p{Nd} \t\r\n]"
+SYMBOL = r"[^\p{L}\p{Nd} \t\r\n]"
 FAULTS = ("wordlen", "symbols", "lineends", "common")
 #: A word list of up to so many entries becomes part of the expression; a longer one is joined.
 INLINE_WORDS = 10_000
@@ -38,20 +40,20 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, id_col: str =
     listed = common_words.where("word is not null").select(F.lower("word").alias("w")).distinct()
     known = [r["w"] for r in listed.limit(INLINE_WORDS + 1).collect()]
     rows = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    rows = rows.withColumn("words", word_column(F.col("text")))
+    rows = with_once(rows, "words", word_column(F.col("text")))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.rtrim(x, F.lit(" \t\r"))), lambda x: x != "")
-    rows = rows.withColumn("lines", lines)
+    rows = with_once(rows, "lines", lines)
     counted = [
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("letters"),
         F.length("text").cast("bigint").alias("chars"),
-        F.length(F.regexp_replace("text", NO_SYMBOL, "")).cast("bigint").alias("symbols"),
+        F.regexp_count("text", F.lit(SYMBOL)).cast("bigint").alias("symbols"),
         F.size("lines").cast("bigint").alias("n_lines"),
         F.size(F.filter("lines", lambda x: F.substring(x, -1, 1).isin(".", "!", "?", '"'))).cast("bigint").alias("ended"),
     ]
     if len(known) <= INLINE_WORDS:
         common = F.size(F.filter("words", lambda w: w.isin(known))).cast("bigint") if known else F.lit(0).cast("bigint")
-        return rows.select(id_col, *counted, common.alias("n_common"))
+        return with_once(rows.select(id_col, "text", "words", "lines"), "_all", F.struct(*counted, common.alias("n_common"))).select(id_col, "_all.*")
     # A long word list: words are counted per row before they meet the list.
     rows = rows.withColumn("_row", F.struct(F.xxhash64(id_col, "text"), F.monotonically_increasing_id()))
     held = rows.select("_row", F.explode("words").alias("w")).groupBy("_row", "w").count().join(listed, "w").groupBy("_row").agg(F.sum("count").alias("n_common"))
