@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.barrier import with_once
 from . import codec
 
 #: Review ids of one block in the block-wise encodings.
@@ -119,10 +120,9 @@ def delta_decode(coded: DataFrame) -> DataFrame:
 
 def varint_lists(postings: DataFrame) -> DataFrame:
     """(term, block, n, ids, tfs): posting lists as group-varint bytes, ids as gaps from the start of their block."""
-    lists = posting_lists(postings)
+    lists = with_once(posting_lists(postings), "list", F.col("list"))
     base = F.shiftleft("block", BLOCK_BITS)
-    ids = F.transform("list", lambda x: x["review_id"])
-    gaps = F.transform(ids, lambda x, i: x - F.when(i > 0, F.get(ids, i - 1)).otherwise(base))
+    gaps = F.transform("list", lambda x, i: x["review_id"] - F.when(i > 0, F.get("list", i - 1)["review_id"]).otherwise(base))
     return lists.select("term", "block", F.size("list").alias("n"), codec.encode_column(gaps).alias("ids"), codec.encode_column(F.transform("list", lambda x: x["tf"])).alias("tfs"))
 
 

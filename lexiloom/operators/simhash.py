@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..plans.barrier import with_once
 from ..plans.skew import block_of, blocks
+from ..plans.storage import materialize
 
 #: A join key is split into blocks of about so many records.
 BLOCK = 2_000
@@ -76,23 +77,22 @@ def hamming_search(queries: DataFrame, records: DataFrame, id_col: str, threshol
 
 
 def block_keys(rows: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
-    """(id, words, combo, key): a row per choice of b blocks, keyed by their bits.
+    """(id, key): a row per choice of b blocks; key is a 64-bit hash of the choice and its bits.
 
     Choices are built up block by block, each time by an explode of the blocks
     behind the last one chosen, so any number of them needs the same short plan.
+    Equal hashes of different keys only make candidates that don't verify.
     """
     widths, starts = bits.block_widths(bits.block_count(threshold) + b), [0]
     for width in widths[:-1]:
         starts.append(starts[-1] + width)
     words = [F.col(w) for w in bits.WORDS]
     cut = F.array(*[bits.block_column(words, at, width) for at, width in zip(starts, widths)])
-    made = with_once(rows.select(F.col(id_col).alias("id"), *bits.WORDS), "blocks", cut)
-    made = made.withColumns({"last": F.lit(-1), "combo": F.lit(""), "key": F.lit("")})
-    kept = ["id", *bits.WORDS, "blocks"]
+    made = with_once(rows.select(F.col(id_col).alias("id"), *bits.WORDS), "blocks", cut).select("id", "blocks", F.lit(-1).alias("last"), F.lit(0).cast("bigint").alias("key"))
     for _ in range(b):
-        more = made.select(*kept, "last", "combo", "key", F.posexplode("blocks").alias("at", "bits")).where("at > last")
-        made = more.select(*kept, F.col("at").alias("last"), F.concat_ws("-", "combo", "at").alias("combo"), F.concat_ws("-", "key", F.hex("bits")).alias("key"))
-    return made.select("id", *bits.WORDS, "combo", "key")
+        more = made.select("id", "blocks", "last", "key", F.posexplode("blocks").alias("at", "bits")).where("at > last")
+        made = more.select("id", "blocks", F.col("at").alias("last"), F.xxhash64("key", "at", "bits").alias("key"))
+    return made.select("id", "key")
 
 
 def block_search(queries: DataFrame, records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
@@ -104,7 +104,7 @@ def block_search(queries: DataFrame, records: DataFrame, id_col: str, threshold,
     """
     left = block_keys(queries, id_col, threshold, b)
     right = block_keys(records, id_col, threshold, b)
-    ids = left.select(F.col("id").alias("a"), "combo", "key").join(right.select(F.col("id").alias("b"), "combo", "key"), ["combo", "key"]).where("a <> b").select("a", "b").distinct()
+    ids = left.select(F.col("id").alias("a"), "key").join(right.select(F.col("id").alias("b"), "key"), "key").where("a <> b").select("a", "b").distinct()
     return _verified(ids.join(_side(queries, id_col, "a"), "a").join(_side(records, id_col, "b"), "b"), threshold)
 
 
@@ -114,11 +114,15 @@ def block_pairs(records: DataFrame, id_col: str, threshold, b: int = 1) -> DataF
     Copies share all keys, so records of equal signatures are first reduced to
     the smallest id; keys of many records are split into blocks.
     """
-    reps = records.where("s0 is not null").groupBy(*bits.WORDS).agg(F.min(id_col).alias(id_col))
-    keyed = block_keys(reps, id_col, threshold, b)
-    counts = keyed.groupBy("combo", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("combo", "key", blocks(F.col("rows"), BLOCK).alias("n"))
-    keyed = keyed.select("id", *bits.WORDS, "combo", "key").join(counts, ["combo", "key"])
-    left = keyed.withColumn("i", block_of(F.col("id"), F.col("n"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    right = keyed.withColumn("j", block_of(F.col("id"), F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = _side(left, "id", "a", ["combo", "key", "i", "j"]).join(_side(right, "id", "b", ["combo", "key", "i", "j"]), ["combo", "key", "i", "j"]).where("a < b")
-    return _verified(met, threshold).distinct()
+    reps = records.where("s0 is not null").groupBy(*bits.WORDS).agg(F.min(id_col).alias("id"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("cls"), "id", *bits.WORDS), "distinct")
+    keyed = block_keys(reps, "cls", threshold, b)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", blocks(F.col("rows"), BLOCK).alias("n"))
+    keyed = materialize(keyed.join(counts, "key"), "keyed")
+    left = keyed.select(F.col("id").alias("a"), "key", block_of(F.col("id"), F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    right = keyed.select(F.col("id").alias("b"), "key", block_of(F.col("id"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    met = left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
+    found = _verified(met.join(_side(reps, "cls", "a"), "a").join(_side(reps, "cls", "b"), "b"), threshold)
+    names = reps.select("cls", "id")
+    named = found.join(names.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
