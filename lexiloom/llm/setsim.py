@@ -296,9 +296,10 @@ def similar_pairs(
     Inputs have an id and sorted distinct element hashes (``element_hashes``);
     other columns are ignored.  Of several rows of one id the one with the
     largest ``latest_by`` counts (null first), of equal ones the larger set,
-    then the larger fingerprint.  Rows with a null id or null array are left
-    out, as are sets of fewer than ``min_size`` elements; an empty set is
-    similar to nothing.  Empty inputs give empty tables.  Returns two tables:
+    then the larger fingerprint.  A null array is an empty set.  Rows with a
+    null id are left out, as are ids whose set has fewer than ``min_size``
+    elements; an empty set is similar to nothing.  Empty inputs give empty
+    tables.  Returns two tables:
 
     links   (cls_a, cls_b, both, n_a, n_b)  pairs of different sets with
             Jaccard >= threshold, each once;
@@ -311,7 +312,8 @@ def similar_pairs(
     rows = left.select(*kept, F.lit(0).alias("side"))
     if right is not None:
         rows = rows.unionByName(right.select(*kept, F.lit(1).alias("side")))
-    rows = rows.where("id is not null and tokens is not null").withColumn("fp", _fingerprint(F.col("tokens"))).withColumn("n", F.size("tokens"))
+    # A null set may be the one that counts for its id, which then has none.
+    rows = rows.where("id is not null").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<bigint>"))).withColumn("fp", _fingerprint(F.col("tokens"))).withColumn("n", F.size("tokens"))
     # Only ids and fingerprints are shuffled to find the rows that count; each set is shuffled once.
     last = rows.groupBy("id", "side").agg(F.max(F.struct("v", "n", "fp")).alias("last")).select("id", "side", "last.n", "last.fp")
     members = materialize(last.where(F.col("n") >= max(1, min_size)).select("id", "side", "fp"), "members")

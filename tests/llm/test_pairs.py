@@ -62,7 +62,7 @@ def test_similar_pairs_between_tables(spark):
 
 
 def test_latest_row_and_least_size(spark):
-    rows = [("a", ["p", "q", "r"], 1), ("a", ["x", "y", "z"], 2), ("a", ["x", "y", "z"], 2), ("b", ["x", "y", "z"], None), ("c", ["p", "q", "r"], 1), ("c", ["x"], 3), (None, ["x", "y", "z"], 1)]
+    rows = [("a", ["p", "q", "r"], 1), ("a", ["x", "y", "z"], 2), ("a", ["x", "y", "z"], 2), ("b", ["x", "y", "z"], None), ("c", ["p", "q", "r"], 1), ("c", ["x"], 3), (None, ["x", "y", "z"], 1), ("d", ["x", "y", "z"], 1), ("d", None, 2)]
     frame = spark.createDataFrame(rows, "id string, items array<string>, at int").withColumn("tokens", setsim.element_hashes(F.col("items")))
     links, members = setsim.similar_pairs(frame, "id", "tokens", 0.5, latest_by="at", min_size=2)
     assert [tuple(r) for r in setsim.expand_pairs(links, members).collect()] == [("a", "b")]
