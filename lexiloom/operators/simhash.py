@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..plans.barrier import with_once
-from ..plans.skew import block_of, blocks
+from ..plans.skew import block_of, blocks, heavy_light_join
 from ..plans.storage import materialize
 
 #: A join key is split into blocks of about so many records.
@@ -108,21 +108,51 @@ def block_search(queries: DataFrame, records: DataFrame, id_col: str, threshold,
     return _verified(ids.join(_side(queries, id_col, "a"), "a").join(_side(records, id_col, "b"), "b"), threshold)
 
 
-def block_pairs(records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
-    """(a, b, similarity) with a < b of all similar pairs of different signatures, through block keys.
+def _classes(records: DataFrame, id_col: str) -> DataFrame:
+    """(cls, id, size, s0, s1, s2, s3): a row per signature with its smallest id and its number of records."""
+    reps = records.where("s0 is not null").groupBy(*bits.WORDS).agg(F.min(id_col).alias("id"), F.count("*").alias("size"))
+    return materialize(reps.select(F.monotonically_increasing_id().alias("cls"), "id", "size", *bits.WORDS), "distinct")
 
-    Copies share all keys, so records of equal signatures are first reduced to
-    the smallest id; keys of many records are split into blocks.
-    """
-    reps = records.where("s0 is not null").groupBy(*bits.WORDS).agg(F.min(id_col).alias("id"))
-    reps = materialize(reps.select(F.monotonically_increasing_id().alias("cls"), "id", *bits.WORDS), "distinct")
+
+def _class_pairs(reps: DataFrame, threshold, b: int) -> DataFrame:
+    """(a, b, similarity) with a < b of the numbers of similar classes; keys of many classes are split into blocks."""
     keyed = block_keys(reps, "cls", threshold, b)
     counts = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", blocks(F.col("rows"), BLOCK).alias("n"))
     keyed = materialize(keyed.join(counts, "key"), "keyed")
     left = keyed.select(F.col("id").alias("a"), "key", block_of(F.col("id"), F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     right = keyed.select(F.col("id").alias("b"), "key", block_of(F.col("id"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     met = left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
-    found = _verified(met.join(_side(reps, "cls", "a"), "a").join(_side(reps, "cls", "b"), "b"), threshold)
+    return _verified(met.join(_side(reps, "cls", "a"), "a").join(_side(reps, "cls", "b"), "b"), threshold)
+
+
+def block_pairs(records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
+    """(a, b, similarity) with a < b of all similar pairs of different signatures, through block keys.
+
+    Copies share all keys, so records of equal signatures are first reduced to
+    the smallest id, which stands for its class; ``block_members`` has the
+    class of every record.
+    """
+    reps = _classes(records, id_col)
+    found = _class_pairs(reps, threshold, b)
     names = reps.select("cls", "id")
     named = found.join(names.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def block_members(records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
+    """(id, class_id, links): a row per record with a signature.
+
+    class_id is the smallest id among the records of equal signature, links the
+    number of other records that are similar: those of the same class
+    (similarity 1) and all of the classes paired with it.  Two records are
+    similar if they have one class or if ``block_pairs`` has the pair of their
+    classes, so both tables together hold every similar pair.
+    """
+    reps = _classes(records, id_col)
+    found = _class_pairs(reps, threshold, b)
+    both = found.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    others = both.join(reps.select(F.col("cls").alias("other"), F.col("size").alias("more")), "other").groupBy("cls").agg(F.sum("more").alias("more"))
+    key = F.concat_ws(":", *bits.WORDS).alias("key")
+    classes = reps.join(others, "cls", "left").select(key, "size", F.col("id").alias("class_id"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    classes = materialize(classes, "classes")
+    return heavy_light_join(records.where("s0 is not null").select(id_col, key), classes, "key", "size").select(id_col, "class_id", "links")

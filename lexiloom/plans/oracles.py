@@ -223,6 +223,11 @@ SELECT doc_id, string_agg(substring('0123456789abcdef', v + 1, 1), '' ORDER BY p
     "simhash_block_pairs": f"""
 WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS doc_id, s0, s1, s2, s3 FROM sg GROUP BY s0, s1, s2, s3)
 SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM r a JOIN r b ON a.doc_id < b.doc_id WHERE {_HAM} <= 25
+""",
+    "simhash_block_members": f"""
+WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS class_id, count(*) AS size, s0, s1, s2, s3 FROM sg GROUP BY s0, s1, s2, s3),
+l AS (SELECT a.class_id, CAST(sum(b.size) AS BIGINT) - 1 AS links FROM r a JOIN r b ON {_HAM} <= 25 GROUP BY 1)
+SELECT doc_id, class_id, links FROM sg JOIN r USING (s0, s1, s2, s3) JOIN l USING (class_id)
 """,
     "minhash_error": f"""
 {_TRIALS} SELECT t, k, count(*) AS trials, round(avg(abs(truth - estimate)), 6) AS mean_error FROM trials GROUP BY ALL

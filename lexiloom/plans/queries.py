@@ -353,6 +353,13 @@ def simhash_block_pairs(spark, sf):
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def simhash_block_members(spark, sf):
+    """The class of each document and its similar documents, beside the pairs of classes of simhash_block_pairs."""
+    rows = storage.materialize(_signatures(spark, sf), "signatures")
+    return simhash.block_members(rows, "doc_id", "0.9", 2)
+
+
 # Evaluation
 
 
