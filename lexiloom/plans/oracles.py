@@ -24,6 +24,11 @@ qw AS (SELECT item_id, list_transform(list_filter(string_split_regex(coalesce(te
 qs AS (SELECT item_id AS query_id, unnest(list_concat(w[1:3], CASE WHEN item_id % 3 = 0 THEN w[1:1] ELSE [] END, CASE WHEN item_id % 50 = 0 THEN ['bulba'] ELSE [] END)) AS term FROM qw),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM qs GROUP BY ALL)
 """
+#: All tokens of every review whose id is divisible by 50, in the place of ``_QUERIES``.
+_WHOLE_QUERIES = """
+qs AS (SELECT review_id AS query_id, term FROM tok WHERE review_id % 50 = 0),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM qs GROUP BY ALL)
+"""
 
 
 def _weights(idf: str) -> str:
@@ -252,3 +257,4 @@ SELECT *, round(CASE WHEN true_positives + false_negatives > 0 THEN true_positiv
     "sample_docs": f"WITH {_DOCS} SELECT doc_id FROM ld ORDER BY md5('1-' || doc_id), doc_id LIMIT 100",
     "helpful_accuracy": f"WITH {_REVIEWS} SELECT count(*) AS trials, round(100 * avg(CASE WHEN 2 * helpfulness_num > helpfulness_den THEN 1.0 ELSE 0.0 END), 2) AS percent FROM rv WHERE helpfulness_den > 0",
 }
+ORACLES |= {f"{name}_whole": sql.replace(_QUERIES, _WHOLE_QUERIES) for name, sql in ORACLES.items() if _QUERIES in sql}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,12 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("query_id"), F.posexplode(terms).alias("pos", "term"))
 
 
+def _whole_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The query set of a search: all tokens, with repeats, of each review whose id is divisible by 50."""
+    rows = _reviews(spark, sf).where(F.col("review_id") % 50 == 0)
+    return rows.select(F.col("review_id").alias("query_id"), F.posexplode(tx.tokens(F.col("text"))).alias("pos", "term"))
+
+
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     rows = linedocs.latest_lines(_table(spark, sf, "linedocs"))
     return with_once(rows, "words", tx.plain_words(F.col("words")))
@@ -202,66 +209,70 @@ def product_reviews(spark, sf):
 
 
 @query
-def posting_lookup(spark, sf):
-    return lookup.postings_of_terms(_queries(spark, sf), ix.term_frequencies(_reviews(spark, sf)))
+def posting_lookup(spark, sf, batch=_queries):
+    return lookup.postings_of_terms(batch(spark, sf), ix.term_frequencies(_reviews(spark, sf)))
 
 
 @query
-def stored_index_lookup(spark, sf):
+def stored_index_lookup(spark, sf, batch=_queries):
     """The same look-up from an index that is written, opened again and read by term."""
     path = f"{storage.shared_dir(spark)}/lexiloom/index-{uuid.uuid4().hex}"
     index = store.write_index(ix.build_index(_reviews(spark, sf)), path)
-    return lookup.postings_of_terms(_queries(spark, sf), index.postings)
+    return lookup.postings_of_terms(batch(spark, sf), index.postings)
 
 
 @query
-def df_lookup(spark, sf):
-    return lookup.frequencies_of_terms(_queries(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "df")
+def df_lookup(spark, sf, batch=_queries):
+    return lookup.frequencies_of_terms(batch(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "df")
 
 
 @query
-def cf_lookup(spark, sf):
-    return lookup.frequencies_of_terms(_queries(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "cf")
+def cf_lookup(spark, sf, batch=_queries):
+    return lookup.frequencies_of_terms(batch(spark, sf), ix.lexicon_of(ix.term_frequencies(_reviews(spark, sf)))).select("term", "cf")
 
 
 # Ranked search
 
 
 @query
-def query_weights(spark, sf):
-    rows = search.query_weights(_queries(spark, sf), _index(spark, sf))
+def query_weights(spark, sf, batch=_queries):
+    rows = search.query_weights(batch(spark, sf), _index(spark, sf))
     return rows.select("query_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query
-def query_weights_exact(spark, sf):
-    rows = search.query_weights(_queries(spark, sf), _index(spark, sf), exact_idf=True)
+def query_weights_exact(spark, sf, batch=_queries):
+    rows = search.query_weights(batch(spark, sf), _index(spark, sf), exact_idf=True)
     return rows.select("query_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query
-def vector_space_topk(spark, sf):
-    return search.vector_space_search(_queries(spark, sf), _index(spark, sf), 10)
+def vector_space_topk(spark, sf, batch=_queries):
+    return search.vector_space_search(batch(spark, sf), _index(spark, sf), 10)
 
 
 @query
-def language_model_topk(spark, sf):
-    return search.language_model_search(_queries(spark, sf), _index(spark, sf), 0.5, 10)
+def language_model_topk(spark, sf, batch=_queries):
+    return search.language_model_search(batch(spark, sf), _index(spark, sf), 0.5, 10)
 
 
 @query
-def product_topk_vs(spark, sf):
-    return search.products_by_vector_space(_queries(spark, sf), _index(spark, sf), 10)
+def product_topk_vs(spark, sf, batch=_queries):
+    return search.products_by_vector_space(batch(spark, sf), _index(spark, sf), 10)
 
 
 @query
-def product_topk_lm(spark, sf):
-    return search.products_by_language_model(_queries(spark, sf), _index(spark, sf), 10)
+def product_topk_lm(spark, sf, batch=_queries):
+    return search.products_by_language_model(batch(spark, sf), _index(spark, sf), 10)
 
 
 @query
-def product_search(spark, sf):
-    return search.product_search(_queries(spark, sf), _index(spark, sf), 10)
+def product_search(spark, sf, batch=_queries):
+    return search.product_search(batch(spark, sf), _index(spark, sf), 10)
+
+
+for _f in (posting_lookup, stored_index_lookup, df_lookup, cf_lookup, query_weights, query_weights_exact, vector_space_topk, language_model_topk, product_topk_vs, product_topk_lm, product_search):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, batch=_whole_queries)
 
 
 # Near-duplicates

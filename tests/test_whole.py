@@ -1,6 +1,14 @@
 """Operators return whole results: no document, query term or hash is left out."""
 
+import os
+
+import pytest
+
 from lexiloom.operators import simhash
+from lexiloom.plans.oracles import _QUERIES, ORACLES
+from lexiloom.plans.queries import QUERIES
+
+from .support import SF, connection
 
 
 def test_every_similar_pair_follows_from_members_and_class_pairs(spark):
@@ -20,3 +28,15 @@ def test_every_similar_pair_follows_from_members_and_class_pairs(spark):
         similar = lambda x, y: x == y or (min(x, y), max(x, y)) in classes  # noqa: B023, E731
         assert {(x, y) for x in members for y in members if x != y and similar(members[x]["class_id"], members[y]["class_id"])} == wanted
         assert {x: r["links"] for x, r in members.items()} == {x: sum(a == x for a, _ in wanted) for x in members}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_searches_take_whole_texts_as_queries(spark):
+    searches = [name for name, sql in ORACLES.items() if _QUERIES in sql]
+    assert len(searches) == 11 and all(f"{name}_whole" in QUERIES for name in searches)
+    texts = connection().sql("SELECT review_id, text FROM reviews WHERE review_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY loaded_at DESC NULLS LAST) = 1").fetchall()
+    terms = {(i, "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in text or "").lower()) for i, text in texts}
+    wanted = {(i, w) for i, text in terms for w in text.split()}
+    assert max(len({w for k, w in wanted if k == i}) for i, _ in wanted) > 3
+    assert {(r["query_id"], r["term"]) for r in QUERIES["query_weights_whole"](spark, SF).collect()} == wanted
+    assert {r["term"] for r in QUERIES["df_lookup_whole"](spark, SF).collect()} == {w for _, w in wanted}
