@@ -112,6 +112,15 @@ def _salts(k: int) -> str:
     return "salts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(salt_words(k))) + ") AS t(k, salt))"
 
 
+#: Sketches of every document with shingles, in the place of ``_SKETCHES``.
+_WHOLE_SKETCHES = rf"""
+cs AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(shingle), '[ \t\r\n]+', ' ', 'g')) AS shingle FROM (SELECT doc_id, unnest(shingles) AS shingle
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY built_at DESC NULLS LAST) AS k FROM shingles WHERE doc_id IS NOT NULL) WHERE k = 1)),
+{_salts(50)},
+sk AS (SELECT doc_id, list(least) AS sketch FROM (SELECT doc_id, k, min(sha256(shingle || ' ' || salt)) AS least FROM cs, salts WHERE shingle <> '' GROUP BY ALL) GROUP BY doc_id)
+"""
+
+
 def _minhash(function: str, k: int) -> str:
     return f"WITH {_DOCS}, {_WINDOWS}, {_salts(k)} SELECT doc_id, CAST(k AS BIGINT) AS k, min({function}(shingle || ' ' || salt)) AS least FROM sh, salts GROUP BY ALL"
 
@@ -258,3 +267,4 @@ SELECT *, round(CASE WHEN true_positives + false_negatives > 0 THEN true_positiv
     "helpful_accuracy": f"WITH {_REVIEWS} SELECT count(*) AS trials, round(100 * avg(CASE WHEN 2 * helpfulness_num > helpfulness_den THEN 1.0 ELSE 0.0 END), 2) AS percent FROM rv WHERE helpfulness_den > 0",
 }
 ORACLES |= {f"{name}_whole": sql.replace(_QUERIES, _WHOLE_QUERIES) for name, sql in ORACLES.items() if _QUERIES in sql}
+ORACLES |= {f"{name}_whole": sql.replace(_SKETCHES, _WHOLE_SKETCHES) for name, sql in ORACLES.items() if _SKETCHES in sql}

@@ -316,15 +316,27 @@ def _sketches(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("size(sketch) = 50 and not exists(sketch, x -> x is null or x = 'inf')")
 
 
+def _whole_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches, with one set of salts, of every document whose stored shingles of the last date aren't empty.
+
+    Stored sketches differ in length and their salts aren't known, so all are
+    computed anew.  Shingles are lower-cased, their white space is single blanks.
+    """
+    last = _table(spark, sf, "shingles").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("built_at", "shingles")).alias("r"))
+    clean = F.trim(F.regexp_replace(F.lower("shingle"), r"[ \t\r\n]+", " "))
+    rows = last.select("doc_id", F.explode("r.shingles").alias("shingle")).select("doc_id", clean.alias("shingle")).where("shingle <> ''")
+    return storage.materialize(minhash.sketches(rows, minhash.salt_words(50)), "whole")
+
+
 @query
-def minhash_similar(spark, sf):
-    rows = jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.8")
+def minhash_similar(spark, sf, sketched=_sketches):
+    rows = jaccard.similar_lists(sketched(spark, sf), "doc_id", "sketch", "0.8")
     return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query
-def minhash_search(spark, sf):
-    rows = jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
+def minhash_search(spark, sf, sketched=_sketches):
+    rows = jaccard.similar_lists(sketched(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
     return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -410,10 +422,10 @@ def minhash_accuracy(spark, sf):
 
 
 @query
-def sketch_over_threshold(spark, sf):
+def sketch_over_threshold(spark, sf, sketched=_sketches):
     """The query set against all stored sketches, by direct comparison."""
     numbers = F.transform("sketch", lambda x: F.xxhash64(x))  # arrays of numbers are compared faster
-    rows = storage.materialize(_sketches(spark, sf).withColumn("sketch", numbers), "sketches")
+    rows = storage.materialize(sketched(spark, sf).withColumn("sketch", numbers), "sketches")
     found = ev.over_threshold(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "sketch", minhash.sketch_similarity, 0.03)
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -431,9 +443,9 @@ def streamed_lexicon(spark, sf):
 
 
 @query
-def recall_precision(spark, sf):
+def recall_precision(spark, sf, sketched=_sketches):
     """The query set's partners by sketches (0.5) against those by word lists (0.5), per query."""
-    found = jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
+    found = jaccard.similar_lists(sketched(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
     truth = jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.5", queries=asked(F.col("id")))
     out = ev.recall_precision(found, truth, ["a", "b"], "a")
     return out.select("a", "true_positives", "false_positives", "false_negatives", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
@@ -454,3 +466,7 @@ def helpful_accuracy(spark, sf):
     """Share of reviews with votes that more than half of the voters found helpful."""
     rows = _reviews(spark, sf).where("helpfulness_den > 0")
     return ev.accuracy(rows, 2 * F.col("helpfulness_num") > F.col("helpfulness_den"))
+
+
+for _f in (minhash_similar, minhash_search, sketch_over_threshold, recall_precision):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, sketched=_whole_sketches)

@@ -40,3 +40,20 @@ def test_searches_take_whole_texts_as_queries(spark):
     assert max(len({w for k, w in wanted if k == i}) for i, _ in wanted) > 3
     assert {(r["query_id"], r["term"]) for r in QUERIES["query_weights_whole"](spark, SF).collect()} == wanted
     assert {r["term"] for r in QUERIES["df_lookup_whole"](spark, SF).collect()} == {w for _, w in wanted}
+
+
+def test_documents_with_short_or_no_sketches_are_compared(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    docs = [("t50", words), ("t51", [*words, "x"]), ("t52", words[::-1]), ("t53", ["too", "short"])]
+    spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "line_no bigint, doc_id string, words array<string>").write.parquet(f"{tmp_path}/linedocs.parquet")
+    shingles = [(d, 1, [" ".join(w[i : i + 4]) for i in range(len(w) - 3)]) for d, w in docs]
+    spark.createDataFrame(shingles, "doc_id string, built_at bigint, shingles array<string>").write.parquet(f"{tmp_path}/shingles.parquet")
+    stored = [("t50", 1, [str(i) for i in range(20)]), ("t52", 1, [f"h{i}" for i in range(50)])]
+    spark.createDataFrame(stored, "doc_id string, built_at bigint, sketch array<string>").write.parquet(f"{tmp_path}/sketches.parquet")
+    pairs = lambda name: {(r["a"], r["b"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert pairs("minhash_similar") == set() and pairs("minhash_similar_whole") == {("t50", "t51")}
+    for name in ("minhash_search_whole", "sketch_over_threshold_whole"):
+        assert pairs(name) == {("t50", "t51")}
+    found = QUERIES["recall_precision_whole"](spark, str(tmp_path)).collect()
+    # The reversed document has the same words in other shingles: the search by words alone finds it.
+    assert [(r["a"], r["true_positives"], r["false_positives"], r["false_negatives"]) for r in found] == [("t50", 1, 0, 1)]
