@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.skew import block_of, blocks
+from ..plans.skew import block_of, blocks, heavy_light_join
 from ..plans.storage import materialize
 from .ratios import as_fraction
 
@@ -197,3 +197,18 @@ def near_duplicate_groups(
     groups = named.join(least, "component").select(F.col("node").alias("cls"), "least")
     labels = sets.select("cls", "fp", "rep").join(groups, "cls", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("group_id"))
     return bags.select("id", "fp").join(labels, "fp").select("id", "group_id", "class_id")
+
+
+def every_record_grouped(records: DataFrame, id_col: str, tokens_col: str, threshold=0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
+    """(id, group_id, class_id) as by ``near_duplicate_groups``, also of records of fewer than ``width`` tokens.
+
+    Those have no run of ``width``: records of equal token lists, the empty one
+    among them, are one class and one group.  Rows with a null id or array are
+    left out.
+    """
+    rows = records.where(F.col(id_col).isNotNull() & F.col(tokens_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"))
+    short = rows.where(F.size("tokens") < width)
+    classes = short.groupBy("tokens").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    key = F.concat_ws(",", F.col("tokens").cast("array<string>")).alias("key")
+    joined = heavy_light_join(short.select("id", key), classes.select(key, "class_id", "size"), "key", "size")
+    return near_duplicate_groups(rows, "id", "tokens", threshold, width, recall).unionByName(joined.select("id", F.col("class_id").alias("group_id"), "class_id"))

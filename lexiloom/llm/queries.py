@@ -70,10 +70,10 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents grouped by their runs of five words, similarity 0.8 or more."""
-    rows = _table(spark, sf, "documents").where("text is not null")
-    rows = with_once(rows, "tokens", neardup.token_hashes(quality.word_column(F.col("text"))))
-    return neardup.near_duplicate_groups(rows, "doc_id", "tokens", 0.8, width=5).withColumnRenamed("id", "doc_id")
+    """Every document grouped by its runs of five words, similarity 0.8 or more; a null text counts as an empty one."""
+    rows = _table(spark, sf, "documents")
+    rows = with_once(rows, "tokens", neardup.token_hashes(quality.word_column(F.coalesce("text", F.lit("")))))
+    return neardup.every_record_grouped(rows, "doc_id", "tokens", 0.8, width=5).withColumnRenamed("id", "doc_id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

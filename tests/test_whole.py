@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from lexiloom.llm.queries import QUERIES as LLM_QUERIES
 from lexiloom.operators import simhash
 from lexiloom.plans.oracles import _QUERIES, ORACLES
 from lexiloom.plans.queries import QUERIES
@@ -57,3 +58,11 @@ def test_documents_with_short_or_no_sketches_are_compared(spark, tmp_path):
     found = QUERIES["recall_precision_whole"](spark, str(tmp_path)).collect()
     # The reversed document has the same words in other shingles: the search by words alone finds it.
     assert [(r["a"], r["true_positives"], r["false_positives"], r["false_negatives"]) for r in found] == [("t50", 1, 0, 1)]
+
+
+def test_short_empty_and_null_texts_have_a_class(spark, tmp_path):
+    long = "one two three four five six"
+    texts = ["One, two!", "one two", "two one", "", "...", None, long, long, "a b c d e", "a b c d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["class_id"], r["group_id"]) for r in LLM_QUERIES["p3_documents"](spark, str(tmp_path)).collect()}
+    assert found == {i: (c, c) for i, c in enumerate([0, 0, 2, 3, 3, 3, 6, 6, 8, 9])}
