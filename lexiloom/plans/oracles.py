@@ -268,3 +268,12 @@ SELECT *, round(CASE WHEN true_positives + false_negatives > 0 THEN true_positiv
 }
 ORACLES |= {f"{name}_whole": sql.replace(_QUERIES, _WHOLE_QUERIES) for name, sql in ORACLES.items() if _QUERIES in sql}
 ORACLES |= {f"{name}_whole": sql.replace(_SKETCHES, _WHOLE_SKETCHES) for name, sql in ORACLES.items() if _SKETCHES in sql}
+_WHOLE_TRIALS = (
+    _TRIALS.replace("'1'", "'own'").replace(_salts(20), _salts(200)).replace("[3, 10, 20]", "[3, 10, 20, 50, 100, 200]")
+    .replace("('0.9', 0.9::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.7', 0.7::DOUBLE)", "('1', 1::DOUBLE), ('0.9', 0.9::DOUBLE), ('0.7', 0.7::DOUBLE), ('0.5', 0.5::DOUBLE), ('0.3', 0.3::DOUBLE)")
+)
+ORACLES |= {
+    "minhash_md5_whole": _minhash("md5", 50),
+    "minhash_error_whole": ORACLES["minhash_error"].replace(_TRIALS, _WHOLE_TRIALS),
+    "minhash_accuracy_whole": ORACLES["minhash_accuracy"].replace(_TRIALS, _WHOLE_TRIALS).replace("estimate >= 0.3 ", "estimate >= round(CAST(t AS DOUBLE) - 0.1, 9) "),
+}

@@ -304,9 +304,14 @@ def minhash_md5(spark, sf):
     return _sketch_rows(spark, sf, "md5", 10)
 
 
+@query
+def minhash_md5_whole(spark, sf):
+    return _sketch_rows(spark, sf, "md5", 50)
+
+
 @query
 def minhash_sha512(spark, sf):
-    return _sketch_rows(spark, sf, "sha512", 10)
+    return _sketch_rows(spark, sf, "sha512", 50)
 
 
 def _sketches(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,25 +393,26 @@ def simhash_block_members(spark, sf):
 
 #: Thresholds and sketch lengths of the sweep.
 SWEEP_T, SWEEP_K = ("0.9", "0.8", "0.7"), (3, 10, 20)
+WHOLE_T, WHOLE_K = ("1", "0.9", "0.7", "0.5", "0.3"), (3, 10, 20, 50, 100, 200)
 
 
-def _error_trials(spark: SparkSession, sf: str) -> DataFrame:
+def _error_trials(spark: SparkSession, sf: str, ts: tuple[str, ...] = SWEEP_T, ks: tuple[int, ...] = SWEEP_K) -> DataFrame:
     """Each document against itself perturbed for each threshold: exact and estimated similarity of the shingle sets.
 
     The first k minima of a sketch are the sketch of the first k salts, so one
     sketch serves all lengths.
     """
     docs = _docs(spark, sf)
-    changed = F.array(F.struct(F.lit("1").alias("t"), F.col("words").alias("w")), *[F.struct(F.lit(t).alias("t"), tx.perturb(F.col("words"), float(t)).alias("w")) for t in SWEEP_T])
+    changed = F.array(F.struct(F.lit("own").alias("t"), F.col("words").alias("w")), *[F.struct(F.lit(t).alias("t"), tx.perturb(F.col("words"), float(t)).alias("w")) for t in ts])
     every = docs.select("doc_id", F.inline(changed))
     every = with_once(every, "set", tx.shingles(F.col("w"))).where("size(set) > 0").select(F.struct("doc_id", "t").alias("key"), "set")
     every = storage.materialize(every, "variants")
-    sketch = minhash.sketches(every.select("key", F.explode("set").alias("shingle")), minhash.salt_words(max(SWEEP_K)), id_col="key")
+    sketch = minhash.sketches(every.select("key", F.explode("set").alias("shingle")), minhash.salt_words(max(ks)), id_col="key")
     made = storage.materialize(every.join(sketch, "key").select("key.*", "set", "sketch"), "sketched")
-    own = made.where("t = '1'").select("doc_id", F.col("set").alias("x"), F.col("sketch").alias("p"))
-    met = made.where("t <> '1'").join(own, "doc_id")
+    own = made.where("t = 'own'").select("doc_id", F.col("set").alias("x"), F.col("sketch").alias("p"))
+    met = made.where("t <> 'own'").join(own, "doc_id")
     truth = jaccard.overlap_similarity(F.size(F.array_intersect("x", "set")), F.size("x"), F.size("set"))
-    rows = met.select("doc_id", "t", truth.alias("truth"), "p", "sketch", F.explode(F.array(*[F.lit(k) for k in SWEEP_K])).alias("k"))
+    rows = met.select("doc_id", "t", truth.alias("truth"), "p", "sketch", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     return rows.select("doc_id", "t", "k", "truth", minhash.sketch_similarity(F.slice("p", F.lit(1), F.col("k")), F.slice("sketch", F.lit(1), F.col("k"))).alias("estimate"))
 
 
@@ -421,6 +427,17 @@ def minhash_accuracy(spark, sf):
     return ev.accuracy(_error_trials(spark, sf), F.col("estimate") >= 0.3, ["t", "k"])
 
 
+@query
+def minhash_error_whole(spark, sf):
+    return ev.mean_absolute_error(_error_trials(spark, sf, WHOLE_T, WHOLE_K), "truth", "estimate", ["t", "k"])
+
+
+@query
+def minhash_accuracy_whole(spark, sf):
+    """Share of perturbed documents whose sketch is at least as similar to the original's as they were made, less 0.1."""
+    return ev.accuracy(_error_trials(spark, sf, WHOLE_T, WHOLE_K), F.col("estimate") >= F.round(F.col("t").cast("double") - 0.1, 9), ["t", "k"])
+
+
 @query
 def sketch_over_threshold(spark, sf, sketched=_sketches):
     """The query set against all stored sketches, by direct comparison."""

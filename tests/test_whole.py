@@ -66,3 +66,12 @@ def test_short_empty_and_null_texts_have_a_class(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: (r["class_id"], r["group_id"]) for r in LLM_QUERIES["p3_documents"](spark, str(tmp_path)).collect()}
     assert found == {i: (c, c) for i, c in enumerate([0, 0, 2, 3, 3, 3, 6, 6, 8, 9])}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sketch_variants_and_sweep_have_all_lengths(spark):
+    for name in ("minhash_md5_whole", "minhash_sha512"):
+        assert {r["k"] for r in QUERIES[name](spark, SF).select("k").distinct().collect()} == set(range(50))
+    found = {(r["t"], r["k"]): r["mean_error"] for r in QUERIES["minhash_error_whole"](spark, SF).collect()}
+    assert set(found) == {(t, k) for t in ("1", "0.9", "0.7", "0.5", "0.3") for k in (3, 10, 20, 50, 100, 200)}
+    assert all(found["1", k] == 0 for k in (3, 200)) and found["0.5", 200] < found["0.5", 3]
