@@ -53,11 +53,11 @@ def _postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.distinctive_terms(_postings(spark, sf), per_record=3, scheme="logtf").select("review_id", "term")
+    return terms.distinctive_terms(_postings(spark, sf), per_record=3, counts="incidences", alpha=0, base=10, damped=True).select("review_id", "term")
 
 
 def p2_ppmi(spark: SparkSession, sf: str) -> DataFrame:
-    found = terms.distinctive_terms(_postings(spark, sf), per_record=3, scheme="ppmi", alpha=0.75)
+    found = terms.distinctive_terms(_postings(spark, sf), per_record=3, counts="tokens", alpha=0.75)
     return found.select("review_id", "term", "tf", F.col("score").alias("ppmi"), "place")
 
 

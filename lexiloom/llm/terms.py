@@ -16,6 +16,8 @@ from ..plans.storage import materialize
 _BLANK = " \t\r\n"
 #: Terms tracked while frequent ones are looked for.
 TRACKED = 65_536
+#: Logarithms by their base.
+LOGS = {2: F.log2, 10: F.log10}
 
 
 def _plain(term: Column) -> Column:
@@ -96,36 +98,37 @@ def mark_terms(counts: DataFrame, n: int, rare_df: int = 1, common_share: str =
     return counts.withColumn("rare", F.col("df") <= rare_df).withColumn("common", F.expr(f"cast(df as decimal(20,0)) > {common_share}BD * {int(n)}"))
 
 
-def distinctive_terms(tfs: DataFrame, per_record: int = 3, scheme: str = "ppmi", alpha: float = 0.75, min_df: int = 2) -> DataFrame:
+def distinctive_terms(tfs: DataFrame, per_record: int = 3, counts: str = "tokens", alpha: float = 0.75, base: int = 2, damped: bool = False, min_df: int = 2) -> DataFrame:
     """The terms of each record that are most typical of it in the collection.
 
-    ``tfs`` is a materialised table of clean postings.  From the joint counts
-    of (term, record) and both marginals, combined by group-bys and joins only:
+    ``tfs`` is a materialised table of clean postings.  The score is the
+    positive pointwise mutual information of term and record,
 
-    ppmi    max(0, log2(p(term, record) / (p(term) p(record)))) over token
-            counts, p(record) being smoothed: length ** alpha over its sum;
-    logtf   the same information over incidences, where each of the N records
-            has the same weight and alpha is 1: log10(N / df), times
-            1 + log10(tf).
+        log(p(t, r) / (p(t) p(r))) = log(c(t, r) C / (c(t) c(r) ** alpha)),
 
-    Both are rounded to 6 decimals.  Terms of fewer than ``min_df`` records and
-    scores of 0 are left out, ties go by term in byte order.  Returns
-    (review_id, term, tf, df, score, place).
+    from the joint counts c(t, r) and both marginals, combined by group-bys and
+    joins only.  p(r) is smoothed by the exponent: c(r) ** alpha over its sum C.
+    Counts are of ``tokens``, or of ``incidences`` (a term in a record counts
+    once).  With alpha 0 all records weigh the same, c(r) ** 0 = 1 and C = N, and
+    over incidences the information is log(N / df).  ``damped`` multiplies it by
+    1 + log10(tf).
+
+    Scores are logs to ``base``, rounded to 6 decimals.  Terms of fewer than
+    ``min_df`` records and scores of 0 are left out, ties go by term in byte
+    order.  Returns (review_id, term, tf, df, score, place).
     """
-    counts = materialize(term_frequencies(tfs), "terms")
-    use = counts.where(F.col("df") >= min_df)
-    scored = heavy_light_join(tfs.select("review_id", "term", "tf"), use, "term", "df")
-    if scheme == "logtf":
-        n = tfs.select("review_id").distinct().count()
-        score = (1 + F.log10("tf")) * F.log10(F.lit(float(n)) / F.col("df"))
-    elif scheme == "ppmi":
-        lengths = tfs.groupBy("review_id").agg(F.sum("tf").alias("len"))
-        total, context = lengths.agg(F.sum("len"), F.sum(F.pow("len", F.lit(alpha)))).first()
-        scored = scored.join(lengths, "review_id")
-        total, context = float(total or 1), float(context or 1)
-        score = F.greatest(F.lit(0.0), F.log2((F.col("tf") / total) / ((F.col("cf") / total) * (F.pow("len", F.lit(alpha)) / context))))
-    else:
-        raise ValueError(f"unknown scheme {scheme!r}")
+    if counts not in ("tokens", "incidences"):
+        raise ValueError(f"unknown counts {counts!r}")
+    joint, marginal = ("tf", "cf") if counts == "tokens" else ("one", "df")
+    use = materialize(term_frequencies(tfs), "terms").where(F.col("df") >= min_df)
+    scored = heavy_light_join(tfs.select("review_id", "term", "tf"), use, "term", "df").withColumn("one", F.lit(1))
+    records = tfs.withColumn("one", F.lit(1)).groupBy("review_id").agg(F.sum(joint).alias("held"))
+    context = float(records.agg(F.sum(F.pow("held", F.lit(float(alpha))))).first()[0] or 1)
+    weight = F.lit(1.0)
+    if alpha:  # a weight of 1 for every record needs no join
+        scored, weight = scored.join(records, "review_id"), F.pow("held", F.lit(float(alpha)))
+    information = LOGS[base](F.col(joint) * F.lit(context) / (F.col(marginal) * weight))
+    score = F.greatest(F.lit(0.0), information) * ((1 + F.log10("tf")) if damped else F.lit(1.0))
     scored = scored.withColumn("score", F.round(score, 6)).where("score > 0")
     order = Window.partitionBy("review_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_record).select("review_id", "term", "tf", "df", "score", "place")

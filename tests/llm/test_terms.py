@@ -29,8 +29,10 @@ def test_cleaning(spark):
 def test_empty(spark):
     none = terms.clean_postings(postings(spark, []), spark.createDataFrame([], "review_id bigint"))
     assert terms.term_frequencies(none).count() == 0
-    for scheme in ("ppmi", "logtf"):
-        assert terms.distinctive_terms(none, scheme=scheme).count() == 0
+    for counts, alpha in (("tokens", 0.75), ("incidences", 0), ("incidences", 0.5)):
+        assert terms.distinctive_terms(none, counts=counts, alpha=alpha).count() == 0
+    with pytest.raises(ValueError):
+        terms.distinctive_terms(none, counts="letters")
 
 
 @pytest.mark.parametrize("heavy", [None, [], ["a", "b"], ["a", "absent", "a"]])
@@ -62,18 +64,27 @@ def test_scores_equal_brute_force(spark, monkeypatch, keys):
     for (i, t), n in tf.items():
         cf[t] += n
         length[i] += n
-    total, context = sum(length.values()), sum(n**0.75 for n in length.values())
+    kinds = Counter(i for i, _ in tf)
+    total, incidences = sum(length.values()), len(tf)
+    damp = lambda n: 1 + math.log10(n)
+
+    def pmi(joint, term, record, every, of, alpha):
+        smoothed = record**alpha / sum(n**alpha for n in of.values())
+        return (joint / every) / (term / every * smoothed)
+
     scores = {
-        "logtf": lambda i, t, n: (1 + math.log10(n)) * math.log10(len(length) / df[t]),
-        "ppmi": lambda i, t, n: max(0, math.log2((n / total) / (cf[t] / total * length[i] ** 0.75 / context))),
+        ("tokens", 0.75, 2, False): lambda i, t, n: max(0, math.log2(pmi(n, cf[t], length[i], total, length, 0.75))),
+        ("tokens", 1.0, 10, True): lambda i, t, n: max(0, math.log10(pmi(n, cf[t], length[i], total, length, 1.0))) * damp(n),
+        ("incidences", 0.5, 2, False): lambda i, t, n: max(0, math.log2(pmi(1, df[t], kinds[i], incidences, kinds, 0.5))),
+        ("incidences", 0, 10, True): lambda i, t, n: damp(n) * math.log10(len(length) / df[t]),
     }
-    for scheme, score in scores.items():
+    for (counts, alpha, base, damped), score in scores.items():
         wanted = defaultdict(list)
         for (i, t), n in tf.items():
             if df[t] >= 2 and round(score(i, t, n), 6) > 0:
                 wanted[i].append((-round(score(i, t, n), 6), t))
         found = defaultdict(list)
-        for r in sorted(terms.distinctive_terms(frame, 3, scheme).collect(), key=lambda r: (r["review_id"], r["place"])):
+        for r in sorted(terms.distinctive_terms(frame, 3, counts, alpha, base, damped).collect(), key=lambda r: (r["review_id"], r["place"])):
             found[r["review_id"]].append(r["term"])
         assert found == {i: [t for _, t in sorted(x)[:3]] for i, x in wanted.items()}
 
