@@ -137,7 +137,7 @@ def _statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.faults(_statistics(spark, sf)).select("doc_id", F.explode("faults").alias("fault"))
+    return quality.text_types(_statistics(spark, sf)).select("doc_id", F.explode("faults").alias("fault"))
 
 
 def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +154,7 @@ def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_types(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.text_types(_statistics(spark, sf))
+    return quality.text_types(_statistics(spark, sf)).select("doc_id", "kind", "p_kind", "p_prose")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,4 +1,6 @@
+import os
 import random
+import re
 from collections import defaultdict
 from fractions import Fraction
 
@@ -94,7 +96,7 @@ def test_statistics_and_faults(spark):
         [(1, 14, 1, 99, 99, 9, 0, 0), (2, 20, 160, 200, 40, 5, 2, 3), (3, 20, 161, 200, 41, 5, 1, 2), (4, 20, 59, 10, 0, 3, 0, 20)],
         "doc_id int, n_words bigint, letters bigint, chars bigint, symbols bigint, n_lines bigint, ended bigint, n_common bigint",
     )
-    assert {r["doc_id"]: r["faults"] for r in quality.faults(rows).collect()} == {1: ["short"], 2: [], 3: ["wordlen", "symbols", "lineends", "common"], 4: ["wordlen"]}
+    assert {r["doc_id"]: r["faults"] for r in rows.select("doc_id", quality.faults().alias("faults")).collect()} == {1: ["short"], 2: [], 3: ["wordlen", "symbols", "lineends", "common"], 4: ["wordlen"]}
 
 
 def test_long_word_lists_are_joined(spark, monkeypatch):
@@ -107,14 +109,56 @@ def test_long_word_lists_are_joined(spark, monkeypatch):
 
 def test_votes_recover_classes():
     rng = np.random.default_rng(1)
-    truth = rng.random(20_000) < 0.3
-    junk, prose = np.array([0.8, 0.7, 0.9, 0.6]), np.array([0.05, 0.1, 0.02, 0.2])
-    bits = rng.random((len(truth), 4)) < np.where(truth[:, None], junk, prose)
-    patterns, counts = np.unique(bits @ (1 << np.arange(4)), return_counts=True)
-    share, a, b = quality.fit_votes(list(zip(patterns.tolist(), counts.tolist())), 4)
-    assert abs(share - 0.3) < 0.02 and np.abs(a - junk).max() < 0.03 and np.abs(b - prose).max() < 0.03
-    guess = quality.posterior(bits.astype(float), share, a, b) >= 0.5
-    assert (guess == truth).mean() > 0.95
+    types = ("prose", "list", "noise")
+    rules = {"a": (quality.Level("", ("list",)),), "b": (quality.Level("", ("noise",)), quality.Level("", ("list",))), "c": (quality.Level("", ("noise",)),), "d": (quality.Level("", ("list", "noise")),)}
+    chances = [[[0.97, 0.03], [0.2, 0.8], [0.9, 0.1]], [[0.9, 0.05, 0.05], [0.3, 0.1, 0.6], [0.2, 0.7, 0.1]], [[0.95, 0.05], [0.9, 0.1], [0.1, 0.9]], [[0.98, 0.02], [0.3, 0.7], [0.3, 0.7]]]
+    truth = rng.choice(3, 20_000, p=[0.7, 0.2, 0.1])
+    votes = np.stack([(rng.random(len(truth))[:, None] > np.cumsum(np.array(c), axis=1)[truth]).sum(axis=1) for c in chances], axis=1)
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.fit_votes(rows, counts.astype(float), quality.first_guess(rules, types))
+    assert np.abs(model.share - [0.7, 0.2, 0.1]).max() < 0.03
+    assert max(np.abs(a - np.array(b)).max() for a, b in zip(model.chances, chances)) < 0.06
+    assert (model.posterior(votes).argmax(axis=1) == truth).mean() > 0.93
+    # The same fit over single rows instead of counted patterns.
+    alone = quality.fit_votes(votes[:2000], np.ones(2000), quality.first_guess(rules, types), rounds=20)
+    rows, counts = np.unique(votes[:2000], axis=0, return_counts=True)
+    again = quality.fit_votes(rows, counts.astype(float), quality.first_guess(rules, types), rounds=20)
+    assert np.abs(alone.share - again.share).max() < 1e-9
+
+
+def test_patterns_are_digits(spark):
+    rows = spark.createDataFrame(
+        [(1, 20, 59, 10, 0, 3, 0, 0, 0, 0, 20), (2, 20, 161, 200, 41, 5, 1, 0, 0, 5, 2), (3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)],
+        "doc_id int, n_words bigint, letters bigint, chars bigint, symbols bigint, n_lines bigint, ended bigint, marked bigint, celled bigint, keyed bigint, n_common bigint",
+    )
+    found = rows.select("doc_id", quality.vote_pattern().alias("p")).orderBy("doc_id").collect()
+    votes = quality.digits(np.array([r["p"] for r in found]), [len(x) + 1 for x in quality.RULES.values()])
+    assert votes.tolist() == [[1, 0, 0, 0, 0, 0, 0], [2, 1, 1, 1, 0, 0, 1], [0, 0, 0, 0, 0, 0, 0]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_types_separate_prose_from_the_rest(spark):
+    """Against what can be told from the texts themselves: raw records, marked lists, rows of cells, symbol runs, hashes, spaced letters."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
+    found = {r["doc_id"]: r for r in quality.text_types(quality.text_statistics(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/common_words.parquet"))).collect()}
+    assert set(found) == set(texts)
+    wanted = {}
+    for d, text in texts.items():
+        lines = [x for x in text.split("\n") if x.strip()]
+        share = lambda shape: sum(bool(re.search(shape, x)) for x in lines) / max(1, len(lines))  # noqa: B023, E731
+        if text.count("review/score:") and share(r"^\w+/\w+: ") >= 0.5:
+            wanted[d] = "record"
+        elif len(lines) >= 4 and share(r"^.[^.!?]*( \| | {2,}|[,;])\S+(( \| | {2,}|[,;])\S+)+$") >= 0.8:
+            wanted[d] = "table"
+    assert len(wanted) > 20
+    assert sum(found[d]["kind"] == kind for d, kind in wanted.items()) >= 0.9 * len(wanted)
+    faulty = {d for d, r in found.items() if set(r["faults"]) & {"wordlen", "symbols", "common"}} | set(wanted)
+    apart = {d for d, r in found.items() if r["kind"] != "prose"}
+    assert len(faulty & apart) >= 0.95 * len(faulty)
+    long = {d for d in apart if "short" not in found[d]["faults"]}
+    assert len({d for d in long if found[d]["faults"]} | (long & set(wanted))) >= 0.95 * len(long)
+    assert {r["kind"] for r in found.values()} == set(quality.TYPES)
 
 
 def test_types_of_nothing(spark):
