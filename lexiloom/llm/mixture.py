@@ -136,7 +136,7 @@ class Leaf:
     budget: int
 
 
-def plan_mixture(leaves: list[tuple[tuple[str, ...], Fraction, int, int]], redistribute: bool = True) -> list[Leaf]:
+def plan_mixture(leaves: list[tuple[tuple[str, ...], Fraction, int, int]]) -> list[Leaf]:
     """Budgets of leaves (path, weight, size, cap); the total is the size of all leaves once.
 
     ``target`` is weight over the sum of weights times the total, ``epochs``
@@ -157,11 +157,8 @@ def plan_mixture(leaves: list[tuple[tuple[str, ...], Fraction, int, int]], redis
     total, weights = sum(x.size for x in root.leaves() if x.path), root.weight
     for leaf in root.leaves():
         leaf.target = leaf.weight / weights * total if weights else Fraction(0)
-    if redistribute and root.children:
+    if root.children:
         _settle(root)
-    else:
-        for leaf in root.leaves():
-            leaf.budget = min(leaf.target, Fraction(leaf.size * leaf.cap))
     return [
         Leaf(x.path, x.weight / weights if weights else Fraction(0), x.size, x.target, min(x.cap, math.ceil(x.target / x.size)) if x.size and x.weight else 0, math.floor(x.budget))
         for x in root.leaves()
@@ -182,7 +179,7 @@ def read_targets(targets: DataFrame) -> dict[str, tuple[Fraction, int]]:
     return found
 
 
-def mixture(sized: DataFrame, targets: DataFrame, levels: list[str], redistribute: bool = True) -> list[Leaf]:
+def mixture(sized: DataFrame, targets: DataFrame, levels: list[str]) -> list[Leaf]:
     """Plan for documents with columns source (normalised), ``levels`` above it, and size.
 
     The weight of a source is split over its leaves by their size; a source
@@ -202,30 +199,39 @@ def mixture(sized: DataFrame, targets: DataFrame, levels: list[str], redistribut
         size = sum(n for _, n in rows)
         for path, n in sorted(rows):
             leaves.append((path, share * n / size if size else share, n, cap))
-    return plan_mixture(leaves, redistribute)
+    return plan_mixture(leaves)
+
+
+def tree_columns(documents: DataFrame, domain: Column | None = None) -> list[Column]:
+    """domain, lang and source of each document: the path of its leaf.
+
+    The domain is by default what follows the last hyphen of the source, a null
+    language is ``und``.
+    """
+    name = source_name(F.col("source"))
+    above = domain if domain is not None else F.element_at(F.split(name, "-"), -1)
+    return [above.alias("domain"), F.coalesce(source_name(F.col("lang")), F.lit("und")).alias("lang"), name.alias("source")]
 
 
 def mix_copies(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, copies): of every source of ``targets``, the whole epochs that reach its target, by words.
 
-    A null text has size 0; documents whose source is null or not listed don't
-    count.  Empty documents give 0 copies everywhere.
+    The plan is that of the tree.  A source's weight is split over its leaves
+    by their size, so all its leaves that hold anything need the same number of
+    epochs, which is that of the source.  A null text has size 0; documents
+    whose source is null or not listed don't count.  Empty documents give 0
+    copies everywhere.
     """
-    sized = documents.select(source_name(F.col("source")).alias("source"), word_count(F.col("text")).alias("size"))
-    plan = mixture(sized, targets, [], redistribute=False)
-    return documents.sparkSession.createDataFrame([(x.path[-1], x.epochs) for x in plan], "source string, copies int")
+    sized = documents.where("source is not null").select(*tree_columns(documents), word_count(F.col("text")).alias("size"))
+    copies: dict[str, int] = {}
+    for leaf in mixture(sized, targets, ["domain", "lang"]):
+        copies[leaf.path[-1]] = max(copies.get(leaf.path[-1], 0), leaf.epochs)
+    return documents.sparkSession.createDataFrame(sorted(copies.items()), "source string, copies int")
 
 
 def sized_documents(documents: DataFrame, tokenizer: str = TOKENIZER, domain: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, size in tokens), materialised.
-
-    The domain is by default what follows the last hyphen of the source; a
-    null language is ``und``; rows without id or source are left out.
-    """
-    name = source_name(F.col("source"))
-    rows = documents.where("doc_id is not null and source is not null").select(
-        "doc_id", (domain if domain is not None else F.element_at(F.split(name, "-"), -1)).alias("domain"), F.coalesce(source_name(F.col("lang")), F.lit("und")).alias("lang"), name.alias("source"), "text"
-    )
+    """(doc_id, domain, lang, source, size in tokens), materialised; rows without id or source are left out."""
+    rows = documents.where("doc_id is not null and source is not null").select("doc_id", *tree_columns(documents, domain), "text")
     return materialize(token_sizes(rows, ["doc_id", "domain", "lang", "source"], "text", tokenizer), "sized")
 
 

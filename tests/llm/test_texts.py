@@ -1,7 +1,7 @@
 import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -216,6 +216,91 @@ def test_prefixes_equal_brute_force(spark, monkeypatch, bins):
     assert found == {d: n for d, n in wanted.items() if n}
 
 
+def planned(leaves):
+    """Budgets by water-filling over (path, weight, size, cap): a plainer way than the operator's, by fixed point over the levels."""
+    weights, total = sum(w for _, w, _, _ in leaves), sum(s for _, _, s, _ in leaves)
+    budget = [min(w / weights * total, s * c) for _, w, s, c in leaves]
+    short = {i: w / weights * total - b for i, ((_, w, _, _), b) in enumerate(zip(leaves, budget))}
+    for depth in (2, 1, 0):  # shortages go to siblings, then to the siblings of ancestors
+        for top in {path[:depth] for path, *_ in leaves}:
+            inside = [i for i, (path, *_) in enumerate(leaves) if path[:depth] == top]
+            rest = sum(short[i] for i in inside)
+
+            def pour(members, amount, level):
+                names = {}
+                for i in members:
+                    names.setdefault(leaves[i][0][level], []).append(i)
+                while amount > 0:
+                    room = {n: sum(leaves[i][2] * leaves[i][3] - budget[i] for i in m) for n, m in names.items()}
+                    open_ = {n: sum(leaves[i][1] for i in m) for n, m in names.items() if room[n] > 0 and sum(leaves[i][1] for i in m) > 0}
+                    if not open_:
+                        return amount
+                    left = Fraction(0)
+                    for n, w in open_.items():
+                        part = amount * w / sum(open_.values())
+                        if level == 2:
+                            given = min(part, room[n])
+                            budget[names[n][0]] += given
+                            left += part - given
+                        else:
+                            left += pour(names[n], part, level + 1)
+                    if left == amount:
+                        return amount
+                    amount = left
+                return amount
+
+            rest = pour(inside, rest, depth)
+            for i in inside:
+                short[i] = Fraction(0)
+            short[inside[0]] = rest
+    return {leaf[0]: int(b) for leaf, b in zip(leaves, budget)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_shares_of_the_test_tables_equal_brute_force(spark, sf):
+    """p7_shares and p7_mix from the raw tables without Spark: tokens, tree, budgets, seeded prefixes."""
+    import pandas as pd
+
+    from lexiloom.llm.queries import QUERIES
+
+    kernel = mixture._tokenizer(mixture.TOKENIZER)
+    name = lambda x: x.strip(" \t\r\n").lower()
+    rows = [r for r in pd.read_parquet(f"{sf}/documents.parquet").astype(object).where(lambda x: x.notna(), None).to_dict("records") if r["source"] is not None]
+    leaf_of = {r["doc_id"]: (name(r["source"]).split("-")[-1], name(r["lang"]) if r["lang"] is not None else "und", name(r["source"])) for r in rows}
+    size = {r["doc_id"]: len(kernel.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows}
+    targets = {}
+    for r in pd.read_parquet(f"{sf}/mix_targets.parquet").to_dict("records"):
+        if isinstance(r["source"], str):
+            share, cap = targets.get(name(r["source"]), (Fraction(0), 0))
+            targets[name(r["source"])] = (share + Fraction(str(r["target_share"])), max(cap, int(r["max_repeats"])))
+    sizes = Counter()
+    for d, leaf in leaf_of.items():
+        sizes[leaf] += size[d]
+    of = Counter()
+    for leaf, n in sizes.items():
+        of[leaf[-1]] += n
+    leaves = [(leaf, targets[leaf[-1]][0] * Fraction(n, of[leaf[-1]]) if of[leaf[-1]] else Fraction(0), n, targets[leaf[-1]][1]) for leaf, n in sorted(sizes.items()) if leaf[-1] in targets]
+    leaves += [(("", "", s), w, 0, c) for s, (w, c) in targets.items() if not of[s]]
+    budget = planned(leaves)
+    order = {r["doc_id"]: r for r in spark.createDataFrame([(d, budget.get(leaf_of[d], 0) // (sizes[leaf_of[d]] or 1)) for d in size], "doc_id bigint, e bigint").withColumn("o", F.xxhash64(F.lit(1), "e", "doc_id")).collect()}
+    used, done = {}, Counter()
+    for d in sorted(size, key=lambda d: (order[d]["o"] % 2**64, d)):
+        leaf = leaf_of[d]
+        if budget.get(leaf) and sizes[leaf]:
+            done[leaf] += size[d]
+            used[d] = order[d]["e"] + (done[leaf] <= budget[leaf] % sizes[leaf])
+    used = {d: n for d, n in used.items() if n}
+    assert {r["doc_id"]: (r["size"], r["copies"]) for r in QUERIES["p7_mix"](spark, sf).collect()} == {d: (size[d], n) for d, n in used.items()}
+    tokens = Counter()
+    for d, n in used.items():
+        tokens[leaf_of[d][-1]] += size[d] * n
+    found = {r["source"]: (r["target_share"], r["tokens"], r["share"]) for r in QUERIES["p7_shares"](spark, sf).collect()}
+    total, weights = sum(tokens.values()), sum(w for w, _ in targets.values())
+    assert {s: x[1] for s, x in found.items()} == {s: tokens[s] for s in targets}
+    assert all(abs(x[0] - float(targets[s][0] / weights)) < 1e-6 and abs(x[2] - tokens[s] / total) < 1e-6 for s, x in found.items())
+
+
 def test_shares_are_reported(spark):
     _, documents, targets = mix_tables(spark)
     sized = mixture.sized_documents(documents)
