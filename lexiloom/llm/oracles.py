@@ -32,6 +32,8 @@ scored AS (
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nd}]+')"
 
+_LOWERED = r"list_transform(regexp_extract_all(regexp_replace(text, '[\x{AD}\x{200B}]', '', 'g'), '[\p{L}\p{Nd}]+'), lambda w: lower(w))"
+
 _FAULTS = r"""
 base AS (
   SELECT doc_id, text, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda w: lower(w)) AS words,
@@ -106,6 +108,27 @@ size AS (SELECT item_id, count(*) AS n FROM i4 GROUP BY 1)
 SELECT item_id, doc_id FROM i10 JOIN d10 USING (g)
 UNION
 SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS c FROM i4 JOIN d4 USING (g) GROUP BY 1, 2) JOIN size USING (item_id) WHERE 2 * c >= n
+""",
+    "p6_matches": rf"""
+WITH items AS (SELECT item_id, {_LOWERED} AS w FROM eval_items WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, {_LOWERED} AS w FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM docs),
+cf AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+win AS (SELECT item_id, i AS place, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS i FROM items WHERE len(w) >= 4)),
+pt AS (SELECT g, k, x.t, coalesce(n, 0) AS n FROM (SELECT DISTINCT g, unnest(string_split(g, ' ')) AS t, unnest([1, 2, 3, 4]) AS k FROM (SELECT DISTINCT g FROM win)) x LEFT JOIN cf ON x.t = cf.t),
+rare AS (SELECT g, k AS a, t FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n, k) AS r FROM pt) WHERE r = 1),
+cand AS (SELECT g, doc_id, p - a AS s FROM rare JOIN tok USING (t)),
+hits AS (SELECT c.g, c.doc_id, c.s, pt.k, bool_or(tok.p = c.s + pt.k) AS at_place FROM cand c JOIN pt ON pt.g = c.g JOIN tok ON tok.doc_id = c.doc_id AND tok.t = pt.t AND tok.p BETWEEN c.s + pt.k - 2 AND c.s + pt.k + 2 GROUP BY ALL),
+m AS (SELECT g, doc_id, s, bool_and(at_place) AS exact FROM hits GROUP BY g, doc_id, s HAVING count(*) = 4),
+held AS (SELECT item_id, doc_id, count(DISTINCT g) FILTER (WHERE exact) AS windows, count(DISTINCT g) AS near FROM win JOIN m USING (g) GROUP BY ALL),
+dia AS (SELECT DISTINCT item_id, doc_id, place, s - place AS d FROM win JOIN m USING (g) WHERE exact),
+runs AS (SELECT item_id, doc_id, count(*) + 3 AS n FROM (SELECT *, place - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY place) AS r FROM dia) GROUP BY item_id, doc_id, d, r),
+best AS (SELECT item_id, doc_id, max(n) AS longest FROM runs GROUP BY ALL),
+size AS (SELECT item_id, count(DISTINCT g) AS of_windows FROM win GROUP BY 1),
+j AS (SELECT item_id, doc_id, windows, near, of_windows, coalesce(longest, 0) AS longest,
+  CASE WHEN longest >= 10 OR 2 * windows >= of_windows THEN 'phrase' WHEN 2 * near >= of_windows THEN 'proximity' END AS match
+  FROM held JOIN size USING (item_id) LEFT JOIN best USING (item_id, doc_id))
+SELECT * FROM j WHERE match IS NOT NULL
 """,
     "p7_found": f"""
 WITH t AS (SELECT lower(trim(source, E' \\t\\r\\n')) AS source, sum(target_share) AS share, max(max_repeats) AS cap FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.barrier import with_once
+from ..plans.storage import materialize
 from . import leakage, mixture, neardup, quality, setsim, terms, topn
 
 
@@ -107,11 +108,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked_items(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), phrase=10, width=4, share="0.5")
+    index = materialize(leakage.positional_index(_table(spark, sf, "documents")), "index")
+    return leakage.leaked_items(index, _table(spark, sf, "eval_items"), phrase=10, width=4, share="0.5", slop=2)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_matches(spark, sf).select("item_id", "doc_id")
+    return p6_matches(spark, sf).where("match = 'phrase'").select("item_id", "doc_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import shutil
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -21,66 +22,105 @@ def grams(words, n):
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def brute_leaks(documents, items, phrase=10, width=4):
-    found = set()
+def words_of(text):
+    return [w.lower() for w in re.findall(r"[^\W_]+", (text or "").replace("\u00ad", "").replace("\u200b", ""))]
+
+
+def brute_matches(documents, items, width=4, slop=2):
+    """{(item, doc): (windows, near, of_windows, longest)} by looking at every place of every document."""
+    texts = {d: words_of(t) for d, t in documents if d is not None and t is not None}
+    frequency = Counter(w for words in texts.values() for w in words)
+    found = {}
     for i, text in items:
-        a = leakage.words_of(text)
+        a = words_of(text)
         own = set(grams(a, width))
-        for d, other in documents:
-            b = leakage.words_of(other)
+        for d, b in texts.items():
             held = own & set(grams(b, width))
-            if own and (2 * len(held) >= len(own) or set(grams(a, phrase)) & set(grams(b, phrase))):
-                found.add((i, d))
+            near = set()
+            for g in own:
+                k = min(range(width), key=lambda k: (frequency[g[k]], k))
+                for p in (p for p, w in enumerate(b) if w == g[k]):
+                    if all(g[j] in b[max(0, p + j - k - slop) : max(0, p + j - k + slop + 1)] for j in range(width)):
+                        near.add(g)
+            longest = max((n for n in range(width, len(a) + 1) if set(grams(a, n)) & set(grams(b, n))), default=0)
+            if near:
+                found[i, d] = (len(held), len(near), len(own), longest)
     return found
 
 
-@pytest.mark.parametrize("batch", [3, 10_000])
-def test_leaks_equal_brute_force(spark, batch):
+def kinds(matches, phrase=10):
+    return {k: "phrase" if n >= phrase or 2 * held >= of else "proximity" for k, (held, near, of, n) in matches.items() if n >= phrase or 2 * near >= of}
+
+
+def leak_tables():
     rng = random.Random(9)
-    vocabulary = [f"w{i}" for i in range(12)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(30)] + [(99, None), (98, ""), (97, "a b c")]
+    vocabulary = [f"w{i}" for i in range(12)] + [f"r{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(30)] + [(99, None), (98, ""), (97, "a b c"), (96, "x y x y x y x")]
     texts = []
     for d in range(60):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
-        if rng.random() < 0.5:
-            source = leakage.words_of(rng.choice(items[:30])[1])
-            a = rng.randint(0, len(source))
-            words[5:5] = source[a : a + rng.randint(4, 14)]
+        if rng.random() < 0.7:
+            source = words_of(rng.choice(items[:30])[1])
+            a = rng.randint(0, len(source) // 2)
+            part = source[a : a + rng.randint(4, 24)]
+            if d % 3 == 1:  # small edits: words put in, left out, swapped
+                for k in range(3, len(part), 4):
+                    part[k : k + 1] = rng.choice([[part[k], "new"], [], ["new", part[k]], part[k : k + 1]])
+            words[5:5] = part
         texts.append((d, rng.choice([" ", ", ", "\n"]).join(words).upper()))
-    texts += [(200, None), (201, ""), (202, "soft­ware a​b")]
-    frame = docs(spark, texts, 3)
+    return texts + [(200, None), (201, ""), (202, "soft\u00adware a\u200bb"), (203, "x y"), (204, "X y x y! x y x")], items
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_leaks_equal_brute_force(spark, monkeypatch, tmp_path, batch):
+    texts, items = leak_tables()
+    if batch == 3:  # small pieces give the same
+        for name, n in (("CANDIDATES", 7), ("BLOCK", 4)):
+            monkeypatch.setattr(leakage, name, n)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        rows = leakage.leaked_items(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        leakage.positional_index(docs(spark, texts, 3)).write.parquet(f"{tmp_path}/index")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    found = [(r["item_id"], r["doc_id"]) for r in rows]
-    assert len(found) == len(set(found)) and set(found) == brute_leaks(texts, items) and found
-    of = dict(items), dict(texts)
-    for r in rows:
-        a, b = leakage.words_of(of[0][r["item_id"]]), leakage.words_of(of[1][r["doc_id"]])
-        longest = max(n for n in range(4, len(a) + 1) if set(grams(a, n)) & set(grams(b, n)))
-        assert (r["longest"], r["windows"], r["of_windows"]) == (longest, len(set(grams(a, 4)) & set(grams(b, 4))), len(set(grams(a, 4))))
-
-
-def test_leaks_in_portions_and_stored_index(spark, monkeypatch, tmp_path):
-    items = spark.createDataFrame([(i, f"one two three four five {i} six seven") for i in range(8)], "item_id bigint, text string")
+    index, table = spark.read.parquet(f"{tmp_path}/index"), spark.createDataFrame(items, "item_id bigint, text string")
+    wanted = brute_matches(texts, items)
+    rows = leakage.probe_index(index, table).collect()
+    found = {(r["item_id"], r["doc_id"]): (r["windows"], r["near"], r["of_windows"], r["longest"]) for r in rows}
+    assert len(found) == len(rows) and found == wanted
+    named = {(r["item_id"], r["doc_id"]): r["match"] for r in leakage.leaked_items(index, table).collect()}
+    assert named == kinds(wanted) and set(named.values()) == {"phrase", "proximity"}
+    exact = leakage.probe_index(index, table, slop=0).where("near <> windows").count()
+    assert exact == 0
+
+
+def test_stored_index_serves_other_items_without_the_texts(spark, monkeypatch, tmp_path):
     texts = [(k, f"say: One two THREE four five {k} six seven!") for k in range(10)]
-    wanted = {tuple(r) for r in leakage.leaked_items(docs(spark, texts), items).collect()}
-    monkeypatch.setattr(leakage, "ITEM_CHARS", 50)
-    assert {tuple(r) for r in leakage.leaked_items(docs(spark, texts), items).collect()} == wanted
-    monkeypatch.undo()
-    probes = leakage.read_items(items, 4)[0]
-    path = str(tmp_path / "index")
-    leakage.positional_index(docs(spark, texts, 2), probes).write.parquet(path)
-    again = leakage.probe_index(spark.read.parquet(path), probes)
-    assert {tuple(r) for r in again.where("longest >= 10 or 2 * windows >= of_windows").collect()} == wanted
-
-
-def test_leaks_of_nothing(spark):
-    none = spark.createDataFrame([], "item_id bigint, text string")
-    assert leakage.leaked_items(docs(spark, [(1, "a b c d")]), none).count() == 0
-    assert leakage.leaked_items(docs(spark, []), spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")).count() == 0
+    spark.createDataFrame(texts, DOCS.removesuffix(", item_id string")).write.parquet(f"{tmp_path}/documents")
+    leakage.positional_index(spark.read.parquet(f"{tmp_path}/documents")).write.parquet(f"{tmp_path}/index")
+    shutil.rmtree(f"{tmp_path}/documents")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    for n, text in ((8, "one two three four five {} six seven"), (5, "other words say one two three four {}")):
+        items = [(i, text.format(i)) for i in range(n)]
+        wanted = kinds(brute_matches(texts, items))
+        table = spark.createDataFrame(items, "item_id bigint, text string")
+        assert {(r["item_id"], r["doc_id"]): r["match"] for r in leakage.leaked_items(index, table).collect()} == wanted and wanted
+        monkeypatch.setattr(leakage, "ITEM_CHARS", 50)  # several portions
+        assert {(r["item_id"], r["doc_id"]): r["match"] for r in leakage.leaked_items(index, table).collect()} == wanted
+        monkeypatch.undo()
+
+
+def test_leaks_of_nothing_and_repeats(spark, tmp_path):
+    def leaks(texts, items):
+        name = f"{tmp_path}/{len(os.listdir(tmp_path))}"
+        leakage.positional_index(docs(spark, texts, 2)).write.parquet(name)
+        return sorted((r["item_id"], r["doc_id"]) for r in leakage.leaked_items(spark.read.schema(leakage.SHARD).parquet(name), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+
+    assert leaks([(1, "a b c d")], []) == []
+    assert leaks([], [(1, "a b c d")]) == []
+    assert leaks([(None, "a b c d"), (2, None)], [(1, "a b c d"), (None, "a b c d")]) == []
+    # Repeated documents and items count once; of an item's rows the longest text.
+    assert leaks([(1, "a b c d")] * 3, [(1, "a b c d"), (1, "a b"), (1, "a b c d")]) == [(1, 1)]
+    assert leaks([(1, "a b c d"), (2, "a b")], [(1, "x"), (1, "a b c d")]) == [(1, 1)]
 
 
 def test_statistics_and_faults(spark):
