@@ -166,3 +166,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 50), (60, 60), (70, 71), (71, 72), (72, 70)] + [(100, k) for k in range(101, 150)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert found == {**{i: 1 for i in range(1, 41)}, 50: 50, 51: 50, 70: 70, 71: 70, 72: 70, **{k: 100 for k in range(100, 150)}}
+
+
+def test_short_empty_and_null_texts_have_a_class(spark, tmp_path):
+    long = "one two three four five six"
+    texts = ["One, two!", "one two", "two one", "", "...", None, long, long, "a b c d e", "a b c d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["class_id"], r["group_id"]) for r in queries.p3_documents(spark, str(tmp_path)).collect()}
+    assert found == {i: (c, c) for i, c in enumerate([0, 0, 2, 3, 3, 3, 6, 6, 8, 9])}
