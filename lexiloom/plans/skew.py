@@ -42,3 +42,19 @@ def blocks(count: Column, cap: int) -> Column:
 def block_of(row: Column, n_blocks: Column, seed: int = 17) -> Column:
     """The block of a row, by the hash of its id."""
     return F.pmod(F.xxhash64(row, F.lit(seed)), n_blocks.cast("bigint")).cast("int")
+
+
+def salted_join(big: DataFrame, other: DataFrame, key: str, row: str, counts: DataFrame, weight: str, how: str = "inner", cap: int = 1_000_000, keys: int = HEAVY_KEYS) -> DataFrame:
+    """Join of two sides that are both too large to broadcast, with the rows of heavy keys spread.
+
+    ``counts`` has the rows of ``big`` per key as ``weight``.  A heavy key is
+    split into blocks of about ``cap`` rows of ``big`` by the hash of ``row``,
+    and the rows of ``other`` go to each of its blocks.  ``how`` is inner or a
+    left join kind that looks from ``big``.  Only the names and block numbers of
+    at most ``keys`` heavy keys are broadcast.
+    """
+    heavy = heavy_rows(counts.where(F.col(weight) > cap), key, weight, keys).select(key, blocks(F.col(weight), cap).alias("_n"))
+    heavy = F.broadcast(heavy)
+    left = big.join(heavy, key, "left").withColumn("_s", F.coalesce(block_of(F.col(row), F.col("_n")), F.lit(0))).drop("_n")
+    right = other.join(heavy, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return left.join(right, [key, "_s"], how).drop("_s")
