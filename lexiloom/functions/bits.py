@@ -67,6 +67,14 @@ def block_choices(threshold, b: int = 1) -> tuple[list[int], list[tuple[int, ...
     return widths, list(itertools.combinations(range(len(widths)), b))
 
 
+def blocks_for(n: int, threshold) -> int:
+    """The least b for which the narrowest key of b blocks has at least log2(n) bits."""
+    b = 1
+    while b * (BITS // (block_count(threshold) + b)) < math.log2(max(2, n)):
+        b += 1
+    return b
+
+
 def permutation(widths: list[int], choice: tuple[int, ...]) -> list[int]:
     """Block order that brings the chosen blocks to the front."""
     return [*choice, *[k for k in range(len(widths)) if k not in choice]]

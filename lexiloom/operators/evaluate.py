@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,13 +20,12 @@ def over_threshold(queries: DataFrame, records: DataFrame, id_col: str, value_co
     """(a, b, similarity) of every query against every record, by any metric of two columns.
 
     The direct comparison that other searches are judged by.  The query set is
-    small against the records; pairs of one id and pairs without a similarity
-    are left out.
+    small against the records; pairs without a similarity are left out.
     """
     left = queries.select(F.col(id_col).alias("a"), F.col(value_col).alias("x"))
     right = records.select(F.col(id_col).alias("b"), F.col(value_col).alias("y"))
-    met = left.join(right, F.col("a") != F.col("b")).withColumn("similarity", metric(F.col("x"), F.col("y")))
-    return met.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    similarity = metric(F.col("x"), F.col("y"))
+    return left.join(right, similarity >= threshold).select("a", "b", similarity.alias("similarity"))
 
 
 def mean_absolute_error(pairs: DataFrame, truth: str, estimate: str, by: list[str] | None = None) -> DataFrame:
@@ -57,3 +58,28 @@ def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(n, r): Pearson's correlation of two columns, over rows where both are known."""
     there = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return there.agg(F.count("*").alias("n"), F.round(F.corr(F.col(x).cast("double"), F.col(y).cast("double")), 6).alias("r"))
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, chars) of tables; chars is the length of all their strings."""
+
+    def size(name: str, df: DataFrame) -> DataFrame:
+        texts = [F.coalesce(F.sum(F.length(c).cast("bigint")), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        return df.agg(F.count("*").alias("rows"), reduce(lambda a, b: a + b, texts, F.lit(0).cast("bigint")).alias("chars")).select(F.lit(name).alias("name"), "rows", "chars")
+
+    return reduce(DataFrame.unionByName, [size(name, df) for name, df in tables.items()])
+
+
+def query_times(spark: SparkSession, queries: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(name, rows, seconds) of queries run one after another, rows being counted as they come out."""
+    found = []
+    for name, run in queries.items():
+        began = time.perf_counter()
+        rows = run().count()
+        found.append((name, rows, time.perf_counter() - began))
+    return spark.createDataFrame(found, "name string, rows bigint, seconds double")
+
+
+def total_time(times: DataFrame) -> DataFrame:
+    """(queries, seconds): how many queries there were, and their time together."""
+    return times.agg(F.count("*").alias("queries"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))

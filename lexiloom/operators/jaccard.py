@@ -1,16 +1,21 @@
-"""Multiset Jaccard similarity of item lists, and the join of similar records."""
+"""Multiset Jaccard similarity of item lists, and the join of similar records.
+
+Records of equal lists (as multisets) are one class, whatever their number;
+only classes are compared.  Results name classes by their smallest id and say
+for how many records they stand; membership has the class of every record.
+"""
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import block_of, blocks
+from ..plans.skew import block_of, blocks, heavy_light_join
 from ..plans.storage import materialize
 
-#: A join key is split into blocks of about so many records.
+#: A join key is split into blocks of about so many classes.
 BLOCK = 2_000
 
 
@@ -45,32 +50,44 @@ def pair_similarity(pairs: DataFrame, items: DataFrame, a: str = "a", b: str = "
     return out.withColumn("similarity", overlap_similarity(filled["both"], filled["na"], filled["nb"])).drop("both", "na", "nb")
 
 
-def similar_lists(records: DataFrame, id_col: str, items_col: str, threshold, queries: Column | None = None) -> DataFrame:
-    """(a, b, similarity) of pairs a < b whose multiset Jaccard similarity is at least ``threshold``.
+def _keyed(records: DataFrame, id_col: str, items_col: str) -> DataFrame:
+    """(id, n, items, key): lists without their nulls, sorted, with 128 bits that stand for the multiset and the length."""
+    held = F.coalesce(F.col(items_col), F.array().cast(dict(records.dtypes)[items_col]))
+    rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(held).alias("n"), F.sort_array(F.array_compact(held)).alias("items"))
+    return rows.withColumn("key", F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), "n", "items")) for seed in (1, 2)]))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(cls, key, class_id, size, asked, n, items) of ``_keyed`` rows with a flag ``asked``: records and queries of equal lists are one class."""
+    of = rows.groupBy("key").agg(F.min(F.when(~F.col("asked"), F.col("id"))).alias("class_id"), F.count(F.when(~F.col("asked"), 1)).alias("size"), F.max("asked").alias("asked"), F.first("n").alias("n"), F.first("items").alias("items"))
+    return materialize(of.select(F.monotonically_increasing_id().alias("cls"), "key", "class_id", "size", "asked", "n", "items"), "classes")
 
-    With ``queries``, a condition on id, pairs (query, record) of different ids
-    in which the first satisfies it.  Exact: records with at least the
-    similarity share one of the n - ceil(t n) + 1 items that are rarest in the
-    collection, so only those are joined, and each pair found is counted in
-    full.  Keys of very frequent items are split into blocks.  Lists that are
-    null or empty are similar to nothing; ids are distinct.
+
+def _similar_classes(classes: DataFrame, threshold, search: bool) -> DataFrame:
+    """(a, b, similarity) of the numbers of different similar classes: each pair once with a < b, or from those asked for to those with records.
+
+    Exact: lists with at least the similarity share one of the n - ceil(t n) + 1
+    items that are rarest in the collection, so only those are joined, and each
+    pair found is counted in full.  Keys of very frequent items are split into
+    blocks.
     """
     t = Fraction(str(threshold))
     num, den = t.numerator, t.denominator
-    items = materialize(numbered_items(records, id_col, items_col), "items")
+    items = materialize(numbered_items(classes, "cls", "items").select("id", "e"), "items")
     df = items.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    held = items.join(df, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
+    held = items.join(df, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
+    held = held.join(classes.select(F.col("cls").alias("id"), "n", "asked", "size"), "id")
     need = F.expr(f"cast(ceil(cast(n as decimal(20,0)) * {num} / {den}) as int)")
     held = held.withColumn("need", need).where("size(held) >= need").withColumn("own", F.col("n") - F.size("held"))
-    held = materialize(held.select("id", "n", "need", "own", "held", F.col("held.e").alias("es")), "held")
-    keys = held.select("id", "n", "need", "own", F.posexplode(F.expr("slice(held, 1, n - need + 1 - own)")).alias("pos", "k"))
-    keys = keys.select("id", "n", (F.col("own") + F.col("pos")).alias("pos"), "k.e", blocks(F.col("k.df"), BLOCK).alias("b"))
-    left = keys.where(queries) if queries is not None else keys
+    held = materialize(held.select("id", "n", "asked", "size", "need", "own", "held", F.col("held.e").alias("es")), "held")
+    keys = held.select("id", "n", "asked", "size", "need", "own", F.posexplode(F.expr("slice(held, 1, n - need + 1 - own)")).alias("pos", "k"))
+    keys = keys.select("id", "n", "asked", "size", (F.col("own") + F.col("pos")).alias("pos"), "k.e", blocks(F.col("k.df"), BLOCK).alias("b"))
+    left, right = (keys.where("asked"), keys.where("size > 0")) if search else (keys, keys)
     left = left.withColumn("i", block_of(F.col("id"), F.col("b"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    right = keys.withColumn("j", block_of(F.col("id"), F.col("b"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    right = right.withColumn("j", block_of(F.col("id"), F.col("b"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     left = left.select("e", "i", "j", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = right.select("e", "i", "j", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    order = "a <> b" if queries is not None else "a < b"
+    order = "a <> b" if search else "a < b"
     # Lengths must fit, and what follows the first common item in both lists must suffice.
     fits = f"na * {num} <= nb * {den} and nb * {num} <= na * {den} and least(na - pa, nb - pb) * {den + num} >= (na + nb) * {num}"
     pairs = left.join(right, ["e", "i", "j"]).where(f"{order} and {fits}").select("a", "b", "na", "nb").distinct()
@@ -80,7 +97,60 @@ def similar_lists(records: DataFrame, id_col: str, items_col: str, threshold, qu
     return met.select("a", "b", overlap_similarity(F.col("both"), F.col("na"), F.col("nb")).alias("similarity"))
 
 
-def ranked_by_similarity(pairs: DataFrame, k: int) -> DataFrame:
-    """The k most similar partners of each query in (a, b, similarity)."""
-    order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _itself(threshold) -> Column:
+    """Whether a list is similar to its own copies: items in common over the length, of which nulls are never in common."""
+    t = Fraction(str(threshold))
+    both = F.size("items").cast("bigint")
+    return (both > 0) & (both * (t.denominator + t.numerator) >= 2 * F.col("n").cast("bigint") * t.numerator)
+
+
+def similar_lists(records: DataFrame, id_col: str, items_col: str, threshold) -> tuple[DataFrame, DataFrame]:
+    """Records whose multiset Jaccard similarity is at least ``threshold``, as two tables.
+
+    links   (a, b, similarity, pairs)   similar classes a <= b, named by their
+            smallest ids, and the number of record pairs they stand for; a = b
+            are the copies inside a class;
+    members (id, class_id, links)       a row per record: its class, and how
+            many other records are similar to it.
+
+    Lists that are null or empty are similar to nothing, a null item is an item
+    of the list that nothing shares; rows with a null id are left out, ids are
+    distinct, other columns are ignored.  Empty tables give empty tables.
+    """
+    rows = _keyed(records, id_col, items_col).withColumn("asked", F.lit(False))
+    classes = _classes(rows)
+    pairs = materialize(_similar_classes(classes, threshold, False), "similar")
+    names = classes.select("cls", "class_id", "size")
+    side = lambda c: names.select(F.col("cls").alias(c), F.col("class_id").alias(f"{c}_id"), F.col("size").alias(f"{c}_size"))
+    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity", (F.col("a_size") * F.col("b_size")).alias("pairs"))
+    copies = classes.where(_itself(threshold) & (F.col("size") > 1))
+    same = F.size("items") / (2 * F.col("n") - F.size("items"))
+    links = apart.unionByName(copies.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), same.alias("similarity"), F.expr("size * (size - 1) div 2").alias("pairs")))
+    both = named.select(F.col("a").alias("cls"), F.col("b_size").alias("more")).unionByName(named.select(F.col("b").alias("cls"), F.col("a_size").alias("more")))
+    more = both.groupBy("cls").agg(F.sum("more").alias("more"))
+    own = F.when(_itself(threshold), F.col("size") - 1).otherwise(F.lit(0))
+    counted = classes.join(more, "cls", "left").select("key", "class_id", "size", (own + F.coalesce("more", F.lit(0))).alias("links"))
+    members = heavy_light_join(rows.select("id", "key"), materialize(counted, "counted"), "key", "size").select("id", "class_id", "links")
+    return links, members
+
+
+def search_lists(queries: DataFrame, records: DataFrame, id_col: str, items_col: str, threshold) -> tuple[DataFrame, DataFrame]:
+    """Records similar to each query, as two tables.
+
+    found   (a, b, similarity, records) a query, a class of records that are
+            similar to it, named by its smallest id, and their number;
+    members (id, class_id)              the class of every record.
+
+    Both inputs have distinct ids and lists; a query may equal a record, and
+    then finds it.  Nulls count as in ``similar_lists``.
+    """
+    rows = _keyed(queries, id_col, items_col).withColumn("asked", F.lit(True)).unionByName(_keyed(records, id_col, items_col).withColumn("asked", F.lit(False)))
+    classes = _classes(rows)
+    same = F.size("items") / (2 * F.col("n") - F.size("items"))
+    equal = classes.where(F.col("asked") & (F.col("size") > 0) & _itself(threshold)).select(F.col("cls").alias("a"), F.col("cls").alias("b"), same.alias("similarity"))
+    pairs = materialize(_similar_classes(classes, threshold, True).unionByName(equal), "similar")
+    asking = rows.where("asked").select("id", "key").join(classes.where("asked").select("key", F.col("cls").alias("a")), "key").select(F.col("id").alias("query"), "a")
+    found = asking.join(pairs, "a").join(classes.select(F.col("cls").alias("b"), "class_id", "size"), "b")
+    members = heavy_light_join(rows.where("not asked").select("id", "key"), classes.where("size > 0").select("key", "class_id", "size"), "key", "size")
+    return found.select(F.col("query").alias("a"), F.col("class_id").alias("b"), "similarity", F.col("size").alias("records")), members.select("id", "class_id")

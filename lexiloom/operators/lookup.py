@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sized import small
+from ..plans.sized import met_with, small
 
 #: What a look-up of an unknown review or term gives.
 MISSING_NUMBER, MISSING_FREQUENCY = -1, 0
@@ -26,7 +26,8 @@ def reviews_by_id(probes: DataFrame, reviews: DataFrame) -> DataFrame:
 def reviews_of_products(probes: DataFrame, reviews: DataFrame) -> DataFrame:
     """(product_id, review_id) of each probed product that has reviews."""
     wanted = probes.select(F.upper(F.trim("product_id", F.lit(" \t\r\n"))).alias("product_id")).where("product_id is not null").distinct()
-    return reviews.select("product_id", "review_id").join(small(wanted), "product_id", "left_semi")
+    counts = reviews.groupBy("product_id").agg(F.count("*").alias("rows"))
+    return met_with(reviews.select("product_id", "review_id"), wanted, wanted, "product_id", "review_id", counts, "rows", "left_semi").select("product_id", "review_id")
 
 
 def _terms(probes: DataFrame) -> DataFrame:
@@ -35,7 +36,9 @@ def _terms(probes: DataFrame) -> DataFrame:
 
 def postings_of_terms(probes: DataFrame, postings: DataFrame) -> DataFrame:
     """(term, review_id, tf) of each probed term, in any letter case."""
-    return postings.join(small(_terms(probes)), "term", "left_semi").select("term", "review_id", "tf")
+    wanted = _terms(probes)
+    counts = postings.groupBy("term").agg(F.count("*").alias("rows"))
+    return met_with(postings, wanted, wanted, "term", "review_id", counts, "rows", "left_semi").select("term", "review_id", "tf")
 
 
 def frequencies_of_terms(probes: DataFrame, lexicon: DataFrame) -> DataFrame:

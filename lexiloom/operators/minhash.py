@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import string
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash families by name; fixed-width hexadecimal digits compare as the numbers they spell.
-FAMILIES: dict[str, Callable[[Column], Column]] = {
-    "sha256": lambda x: F.sha2(x, 256),
-    "sha512": lambda x: F.sha2(x, 512),
-    "md5": F.md5,
-}
+from ..plans.barrier import with_once
+
+#: Hash families by name; the bytes of a digest compare as the numbers they spell.
+FAMILIES = {"sha256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
 
 
 def salt_words(k: int, version: int = 1, letters: int = 4) -> list[str]:
@@ -26,17 +25,33 @@ def salt_words(k: int, version: int = 1, letters: int = 4) -> list[str]:
     return found
 
 
-def sketches(shingle_rows: DataFrame, salts: list[str], family: str | Callable[[Column], Column] = "sha256", id_col: str = "doc_id") -> DataFrame:
-    """(id, sketch): for each salt the least hash of "shingle salt" over a record's shingles.
+def _kernel(salts: list[str], family: str, id_col: str):
+    words, digest = [b" " + w.encode() for w in salts], FAMILIES[family]
+
+    def sketch(shingles: list[str]) -> list[str]:
+        plain = [x.encode() for x in shingles]
+        return [min(digest(x + w).digest() for x in plain).hex() for w in words]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                found = [sketch(row) for row in part.column("_set").to_pylist()]
+                yield pa.record_batch([part.column(id_col), pa.array(found, pa.list_(pa.string()))], names=[id_col, "sketch"])
+
+    return kernel
+
 
-    ``shingle_rows`` has (id, shingle); repeats don't matter.  The minima are
-    plain aggregates, combined on the map side.  Records without shingles have
-    no row.
+def sketches(records: DataFrame, salts: list[str], family: str = "sha256", id_col: str = "doc_id", set_col: str = "shingles") -> DataFrame:
+    """(id, sketch): for each salt the least hash of "shingle salt" over a record's shingles, in hexadecimal digits.
+
+    ``set_col`` is an array of shingles; repeats and nulls in it don't matter.
+    A record's minima come from its own array, so nothing is shuffled or
+    sorted.  Records without shingles have no row, nor have null ids.
     """
-    hashed = FAMILIES[family] if isinstance(family, str) else family
-    minima = [F.min(hashed(F.concat_ws(" ", "shingle", F.lit(word)))).alias(f"m{i}") for i, word in enumerate(salts)]
-    rows = shingle_rows.where("shingle is not null").groupBy(id_col).agg(*minima)
-    return rows.select(id_col, F.array(*[f"m{i}" for i in range(len(salts))]).alias("sketch"))
+    kind = records.schema[id_col].dataType.simpleString()
+    rows = with_once(records.where(F.col(id_col).isNotNull()).select(id_col, set_col), "_set", F.array_compact(F.col(set_col))).where("size(_set) > 0")
+    return rows.select(id_col, "_set").mapInArrow(_kernel(salts, family, id_col), f"`{id_col}` {kind}, sketch array<string>")
 
 
 def sketch_similarity(a: Column, b: Column) -> Column:
@@ -44,11 +59,3 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     times = lambda side, x: F.size(F.filter(side, lambda y: y == x))
     rest = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
     return F.try_divide(rest.cast("double"), (F.size(a) + F.size(b) - rest).cast("double"))
-
-
-def needed_matches(k: int, threshold) -> int:
-    """Common minima that two sketches of k need for a similarity of ``threshold``."""
-    from fractions import Fraction
-
-    t = Fraction(str(threshold))
-    return next(m for m in range(k + 1) if Fraction(m, 2 * k - m) >= t)

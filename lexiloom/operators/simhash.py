@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -16,7 +17,7 @@ from ..plans.barrier import with_once
 from ..plans.skew import block_of, blocks, heavy_light_join
 from ..plans.storage import materialize
 
-#: A join key is split into blocks of about so many records.
+#: A key is split into blocks of about so many classes.
 BLOCK = 2_000
 
 
@@ -58,22 +59,28 @@ def _side(rows: DataFrame, id_col: str, name: str, extra: list[str] | None = Non
     return rows.select(F.col(id_col).alias(name), *[F.col(w).alias(f"{name}_{w}") for w in bits.WORDS], *(extra or []))
 
 
-def _verified(met: DataFrame, threshold) -> DataFrame:
-    """Pairs with at least the similarity, as (a, b, similarity)."""
+def _near(threshold):
+    """Condition: the signatures of a and b have at least the similarity."""
     t = Fraction(str(threshold))
-    apart = bits.hamming(_words("a"), _words("b"))
     most = (bits.BITS * (t.denominator - t.numerator)) // t.denominator
-    return met.where(apart <= most).select("a", "b", bits.similarity(_words("a"), _words("b")).alias("similarity"))
+    return bits.hamming(_words("a"), _words("b")) <= most
+
+
+def _verified(met: DataFrame, threshold) -> DataFrame:
+    """Pairs with at least the similarity, as (a, b, similarity)."""
+    return met.where(_near(threshold)).select("a", "b", bits.similarity(_words("a"), _words("b")).alias("similarity"))
 
 
 def hamming_search(queries: DataFrame, records: DataFrame, id_col: str, threshold) -> DataFrame:
     """(a, b, similarity): every query against every record, by direct comparison.
 
-    A query set is small against the records; the join has no key, so Spark
-    compares blocks of both sides, and broadcasts the queries only below its
-    own size limit.
+    The way that other searches are judged by.  A query set is small against
+    the records; the join has no key, so Spark compares blocks of both sides,
+    and broadcasts the queries only below its own size limit.  ``block_search``
+    is the way that scales.
     """
-    return _verified(_side(queries, id_col, "a").join(_side(records, id_col, "b"), F.col("a") != F.col("b")), threshold)
+    met = _side(queries, id_col, "a").join(_side(records, id_col, "b"), _near(threshold))
+    return met.select("a", "b", bits.similarity(_words("a"), _words("b")).alias("similarity"))
 
 
 def block_keys(rows: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
@@ -95,64 +102,108 @@ def block_keys(rows: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame
     return made.select("id", "key")
 
 
-def block_search(queries: DataFrame, records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
-    """(a, b, similarity) like ``hamming_search``, through the pigeonhole principle.
+@dataclass
+class BlockIndex:
+    """Signatures prepared for searches through b of m + b blocks.
 
-    With m + b blocks, signatures that differ in at most m bits have b blocks
-    in common, so pairs meet on equal keys and are then verified; no pair is
-    missed.
+    classes  (cls, id, size, s0..s3)  a row per distinct signature: the
+             smallest id that has it and the number of records;
+    keys     (key, cls, n)            a row per class and choice of blocks; a
+             key of many classes is split into n blocks of about BLOCK.
     """
-    left = block_keys(queries, id_col, threshold, b)
-    right = block_keys(records, id_col, threshold, b)
-    ids = left.select(F.col("id").alias("a"), "key").join(right.select(F.col("id").alias("b"), "key"), "key").where("a <> b").select("a", "b").distinct()
-    return _verified(ids.join(_side(queries, id_col, "a"), "a").join(_side(records, id_col, "b"), "b"), threshold)
+
+    classes: DataFrame
+    keys: DataFrame
+    threshold: Fraction
+    b: int
 
 
 def _classes(records: DataFrame, id_col: str) -> DataFrame:
-    """(cls, id, size, s0, s1, s2, s3): a row per signature with its smallest id and its number of records."""
-    reps = records.where("s0 is not null").groupBy(*bits.WORDS).agg(F.min(id_col).alias("id"), F.count("*").alias("size"))
-    return materialize(reps.select(F.monotonically_increasing_id().alias("cls"), "id", "size", *bits.WORDS), "distinct")
-
-
-def _class_pairs(reps: DataFrame, threshold, b: int) -> DataFrame:
-    """(a, b, similarity) with a < b of the numbers of similar classes; keys of many classes are split into blocks."""
-    keyed = block_keys(reps, "cls", threshold, b)
-    counts = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", blocks(F.col("rows"), BLOCK).alias("n"))
-    keyed = materialize(keyed.join(counts, "key"), "keyed")
-    left = keyed.select(F.col("id").alias("a"), "key", block_of(F.col("id"), F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    right = keyed.select(F.col("id").alias("b"), "key", block_of(F.col("id"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    met = left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
-    return _verified(met.join(_side(reps, "cls", "a"), "a").join(_side(reps, "cls", "b"), "b"), threshold)
+    reps = records.where(_complete()).groupBy(*bits.WORDS).agg(F.min(id_col).alias("id"), F.count("*").alias("size"))
+    return reps.select(F.monotonically_increasing_id().alias("cls"), "id", "size", *bits.WORDS)
+
 
+def _complete():
+    """Whether a row has a signature."""
+    return F.expr(" and ".join(f"{w} is not null" for w in bits.WORDS))
 
-def block_pairs(records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
-    """(a, b, similarity) with a < b of all similar pairs of different signatures, through block keys.
 
-    Copies share all keys, so records of equal signatures are first reduced to
-    the smallest id, which stands for its class; ``block_members`` has the
-    class of every record.
+def build_block_index(records: DataFrame, id_col: str, threshold, b: int | None = None, path: str | None = None) -> BlockIndex:
+    """The index of (id, s0..s3) rows, written to ``path`` or as tables of the session; records without a signature are left out.
+
+    Without ``b`` it is the least number of blocks whose keys have at least as
+    many bits as the number of classes, so that a class meets few others by
+    chance however many there are.
     """
-    reps = _classes(records, id_col)
-    found = _class_pairs(reps, threshold, b)
-    names = reps.select("cls", "id")
-    named = found.join(names.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
-    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    spark = records.sparkSession
+    save = (lambda df, name: materialize(df, name)) if path is None else (lambda df, name: _saved(df, f"{path}/{name}"))
+    classes = save(_classes(records, id_col), "classes")
+    b = b or bits.blocks_for(classes.count(), threshold)
+    keyed = block_keys(classes, "cls", threshold, b)
+    # Keys of many classes are found by a count that is combined on the map side; only theirs is looked up.
+    many = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("key", blocks(F.col("rows"), BLOCK).alias("n"))
+    keys = keyed.join(many, "key", "left").select("key", F.col("id").alias("cls"), F.coalesce("n", F.lit(1)).alias("n"))
+    index = BlockIndex(classes, save(keys, "keys"), Fraction(str(threshold)), b)
+    if path is not None:
+        _saved(spark.createDataFrame([(str(index.threshold), b)], "threshold string, b int"), f"{path}/plan")
+    return index
+
+
+def _saved(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def open_block_index(spark: SparkSession, path: str) -> BlockIndex:
+    """An index that ``build_block_index`` wrote to ``path``."""
+    plan = spark.read.parquet(f"{path}/plan").first()
+    return BlockIndex(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/keys"), Fraction(plan["threshold"]), plan["b"])
+
+
+def _class_pairs(index: BlockIndex) -> DataFrame:
+    """(a, b, similarity) with a < b of the numbers of similar classes."""
+    keyed = index.keys
+    left = keyed.select(F.col("cls").alias("a"), "key", block_of(F.col("cls"), F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    right = keyed.select(F.col("cls").alias("b"), "key", block_of(F.col("cls"), F.col("n")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    met = left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b").distinct()
+    return _verified(met.join(_side(index.classes, "cls", "a"), "a").join(_side(index.classes, "cls", "b"), "b"), index.threshold)
 
 
-def block_members(records: DataFrame, id_col: str, threshold, b: int = 1) -> DataFrame:
-    """(id, class_id, links): a row per record with a signature.
+def block_search(queries: DataFrame, index: BlockIndex, id_col: str) -> DataFrame:
+    """(a, b, similarity, records): classes of records similar to each query, by their smallest id, and their number.
 
-    class_id is the smallest id among the records of equal signature, links the
-    number of other records that are similar: those of the same class
-    (similarity 1) and all of the classes paired with it.  Two records are
-    similar if they have one class or if ``block_pairs`` has the pair of their
-    classes, so both tables together hold every similar pair.
+    Through the pigeonhole principle: with m + b blocks, signatures that differ
+    in at most m bits have b blocks in common, so pairs meet on equal keys and
+    are then verified; no pair is missed.  A query meets every block of a key
+    that is split.  A query that equals a record finds it.
+    """
+    asked = queries.where(_complete())
+    left = block_keys(asked, id_col, index.threshold, index.b).select(F.col("id").alias("a"), "key")
+    right = index.keys.select("key", F.col("cls").alias("b"), block_of(F.col("cls"), F.col("n")).alias("j"))
+    split = index.keys.where("n > 1").groupBy("key").agg(F.max("n").alias("n"))
+    left = left.join(split, "key", "left").select("a", "key", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("j"))
+    met = left.join(right, ["key", "j"]).select("a", "b").distinct()
+    found = _verified(met.join(_side(asked, id_col, "a"), "a").join(_side(index.classes, "cls", "b"), "b"), index.threshold)
+    return found.join(index.classes.select(F.col("cls").alias("b"), F.col("id").alias("class_id"), "size"), "b").select("a", F.col("class_id").alias("b"), "similarity", F.col("size").alias("records"))
+
+
+def similar_signatures(records: DataFrame, id_col: str, index: BlockIndex) -> tuple[DataFrame, DataFrame]:
+    """All similar pairs of the records that ``index`` was built from, as two tables.
+
+    links   (a, b, similarity, pairs)  similar classes a <= b, by their smallest
+            ids, and the number of record pairs they stand for; a = b are the
+            copies inside a class, of similarity 1;
+    members (id, class_id, links)      a row per record with a signature: its
+            class, and how many other records are similar to it.
     """
-    reps = _classes(records, id_col)
-    found = _class_pairs(reps, threshold, b)
-    both = found.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-    others = both.join(reps.select(F.col("cls").alias("other"), F.col("size").alias("more")), "other").groupBy("cls").agg(F.sum("more").alias("more"))
+    pairs = materialize(_class_pairs(index), "pairs")
+    side = lambda c: index.classes.select(F.col("cls").alias(c), F.col("id").alias(f"{c}_id"), F.col("size").alias(f"{c}_size"))
+    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity", (F.col("a_size") * F.col("b_size")).alias("pairs"))
+    copies = index.classes.where("size > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.expr("size * (size - 1) div 2").alias("pairs"))
+    both = named.select(F.col("a").alias("cls"), F.col("b_size").alias("more")).unionByName(named.select(F.col("b").alias("cls"), F.col("a_size").alias("more")))
     key = F.concat_ws(":", *bits.WORDS).alias("key")
-    classes = reps.join(others, "cls", "left").select(key, "size", F.col("id").alias("class_id"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
-    classes = materialize(classes, "classes")
-    return heavy_light_join(records.where("s0 is not null").select(id_col, key), classes, "key", "size").select(id_col, "class_id", "links")
+    classes = index.classes.join(both.groupBy("cls").agg(F.sum("more").alias("more")), "cls", "left")
+    classes = materialize(classes.select(key, "size", F.col("id").alias("class_id"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links")), "named")
+    members = heavy_light_join(records.where(_complete()).select(id_col, key), classes, "key", "size").select(id_col, "class_id", "links")
+    return apart.unionByName(copies), members

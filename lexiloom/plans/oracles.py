@@ -21,11 +21,11 @@ meta AS (SELECT rv.*, coalesce(c, 0) AS length FROM rv LEFT JOIN (SELECT review_
 """
 _QUERIES = r"""
 qw AS (SELECT item_id, list_transform(list_filter(string_split_regex(coalesce(text, ''), '\W'), lambda x: x <> ''), lambda x: lower(x)) AS w FROM eval_items),
-qs AS (SELECT item_id AS query_id, unnest(list_concat(w[1:3], CASE WHEN item_id % 3 = 0 THEN w[1:1] ELSE [] END, CASE WHEN item_id % 50 = 0 THEN ['bulba'] ELSE [] END)) AS term FROM qw),
+qs AS (SELECT item_id AS query_id, unnest(list_concat(w, CASE WHEN item_id % 50 = 0 THEN ['qzxqueryword'] ELSE [] END)) AS term FROM qw),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM qs GROUP BY ALL)
 """
 #: All tokens of every review whose id is divisible by 50, in the place of ``_QUERIES``.
-_WHOLE_QUERIES = """
+_REVIEW_QUERIES = """
 qs AS (SELECT review_id AS query_id, term FROM tok WHERE review_id % 50 = 0),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM qs GROUP BY ALL)
 """
@@ -91,38 +91,74 @@ sg AS (SELECT doc_id, s0, s1, s2, s3 FROM (SELECT *, row_number() OVER (PARTITIO
 """
 _HAM = "(" + " + ".join(f"CAST(bit_count(xor(a.s{k}, b.s{k})) AS INT)" for k in range(4)) + ")"
 _ASKED = r"TRY_CAST(regexp_extract(%s, '(\d+)$', 1) AS BIGINT) %% 50 = 0"
-_SKETCHES = """
-sk AS (SELECT doc_id, sketch FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY built_at DESC NULLS LAST) AS k FROM sketches WHERE doc_id IS NOT NULL)
-       WHERE k = 1 AND len(sketch) = 50 AND len(list_filter(sketch, lambda x: x IS NULL OR x = 'inf')) = 0)
-"""
-
-
-def _similar(table: str, items: str, t: str, condition: str, name: str) -> str:
-    """Pairs of lists by counting all their items in common."""
+def _similar(table: str, items: str, t: str, name: str, queries: str = "") -> str:
+    """Pairs of lists, within a table or from a table of queries to it, by counting all their items in common."""
     num, den = {"0.8": (4, 5), "0.7": (7, 10), "0.5": (1, 2)}[t]
+    count = lambda n, of: f"{n} AS (SELECT doc_id, n, item, count(*) AS c FROM (SELECT doc_id, len({items}) AS n, unnest({items}) AS item FROM {of}) GROUP BY ALL)"
     return f"""
-{name}i AS (SELECT doc_id, n, item, count(*) AS c FROM (SELECT doc_id, len({items}) AS n, unnest({items}) AS item FROM {table}) GROUP BY ALL),
+{count(f"{name}i", table)}, {count(f"{name}q", queries or table)},
 {name} AS (SELECT a, b, c / (na + nb - c) AS similarity FROM
   (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, CAST(sum(least(x.c, y.c)) AS BIGINT) AS c
-   FROM {name}i x JOIN {name}i y ON x.item = y.item AND {condition} GROUP BY 1, 2) WHERE c * {den} >= (na + nb - c) * {num})
+   FROM {name}q x JOIN {name}i y ON x.item = y.item {"" if queries else "AND x.doc_id <> y.doc_id"} GROUP BY 1, 2) WHERE c * {den} >= (na + nb - c) * {num}),
+{name}c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort({items})) AS class_id FROM {table})
 """
 
 
+#: From all pairs of documents (both directions) and their classes: links between classes, links of each document, classes found by a query.
+_LINKS = "SELECT x.class_id AS a, y.class_id AS b, round(any_value(similarity), 6) AS similarity, count(*) AS pairs FROM p JOIN pc x ON x.doc_id = p.a JOIN pc y ON y.doc_id = p.b WHERE x.class_id < y.class_id OR (x.class_id = y.class_id AND p.a < p.b) GROUP BY 1, 2"
+_MEMBERS = "SELECT doc_id, class_id, coalesce(n, 0) AS links FROM pc LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM p GROUP BY 1) USING (doc_id)"
+_FOUND = "SELECT a, class_id AS b, round(any_value(similarity), 6) AS similarity, count(*) AS records FROM p JOIN pc ON pc.doc_id = p.b GROUP BY 1, 2"
+
+
 def _salts(k: int) -> str:
     return "salts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(salt_words(k))) + ") AS t(k, salt))"
 
 
-#: Sketches of every document with shingles, in the place of ``_SKETCHES``.
-_WHOLE_SKETCHES = rf"""
+#: Sketches of every document with stored shingles.
+_SKETCHES = rf"""
 cs AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(shingle), '[ \t\r\n]+', ' ', 'g')) AS shingle FROM (SELECT doc_id, unnest(shingles) AS shingle
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY built_at DESC NULLS LAST) AS k FROM shingles WHERE doc_id IS NOT NULL) WHERE k = 1)),
 {_salts(50)},
 sk AS (SELECT doc_id, list(least) AS sketch FROM (SELECT doc_id, k, min(sha256(shingle || ' ' || salt)) AS least FROM cs, salts WHERE shingle <> '' GROUP BY ALL) GROUP BY doc_id)
 """
+def _perturbed(words: str) -> str:
+    return f"list_transform({words}, lambda w, i: CASE WHEN i <= greatest(0, CAST(ceil(round(len({words}) * (1 - 0.95) / (1 + 0.95), 9)) AS BIGINT) - 1) THEN '**' ELSE w END)"
+
+
+#: The query set of near-duplicate searches: perturbed documents; shingles of their plain words; sketches of these.
+_PROBES = rf"""
+qd AS (SELECT doc_id, {_perturbed("words")} AS words FROM ld WHERE {_ASKED % 'doc_id'}),
+qp AS (SELECT doc_id, list_filter(list_transform(words, lambda w: regexp_replace(lower(w), '[^\p{{L}}\p{{Nd}}]', '', 'g')), lambda w: w <> '') AS plain FROM ld WHERE {_ASKED % 'doc_id'}),
+qc AS (SELECT doc_id, {_perturbed("plain")} AS words FROM qp),
+qx AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+3], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, len(words) - 2)) AS i FROM qc WHERE len(words) >= 4))
+"""
+_PROBE_SKETCHES = "qk AS (SELECT doc_id, list(least) AS sketch FROM (SELECT doc_id, k, min(sha256(shingle || ' ' || salt)) AS least FROM qx, salts GROUP BY ALL) GROUP BY doc_id)"
+
+
+def _nibbles(shingles: str, name: str) -> str:
+    """(doc_id, p, v): majority of the hexadecimal digits' bits over the sha256 of all shingles."""
+    return f"""
+{name}h AS (SELECT doc_id, p, strpos('0123456789abcdef', substring(h, p, 1)) - 1 AS v FROM (SELECT doc_id, sha256(shingle) AS h, unnest(range(1, 65)) AS p FROM {shingles})),
+{name}o AS (SELECT doc_id, p, count(*) AS n, sum((v >> 3) & 1) AS b3, sum((v >> 2) & 1) AS b2, sum((v >> 1) & 1) AS b1, sum(v & 1) AS b0 FROM {name}h GROUP BY ALL),
+{name} AS (SELECT doc_id, p, CAST((2 * b3 > n)::INT * 8 + (2 * b2 > n)::INT * 4 + (2 * b1 > n)::INT * 2 + (2 * b0 > n)::INT AS INT) AS v FROM {name}o)
+"""
 
 
-def _minhash(function: str, k: int) -> str:
-    return f"WITH {_DOCS}, {_WINDOWS}, {_salts(k)} SELECT doc_id, CAST(k AS BIGINT) AS k, min({function}(shingle || ' ' || salt)) AS least FROM sh, salts GROUP BY ALL"
+_PROBED = f"""
+{_nibbles("qx", "qn")},
+sn AS (SELECT doc_id, p, CAST(((CASE (p - 1) // 16 WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END) >> (60 - 4 * ((p - 1) % 16))) & 15 AS INT) AS v FROM (SELECT *, unnest(range(1, 65)) AS p FROM sg)),
+hm AS (SELECT a, b, 1 - h / 256 AS similarity, h FROM (SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(bit_count(xor(x.v, y.v))) AS BIGINT) AS h FROM qn x JOIN sn y USING (p) GROUP BY 1, 2)),
+pc AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s0, s1, s2, s3) AS class_id FROM sg)
+"""
+#: All pairs of stored signatures within 25 bits, and the classes of equal ones.
+_SIGNATURE_PAIRS = f"""
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, 1 - {_HAM} / 256 AS similarity FROM sg a JOIN sg b ON a.doc_id <> b.doc_id WHERE {_HAM} <= 25),
+pc AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s0, s1, s2, s3) AS class_id FROM sg)
+"""
+
+
+def _minhash(function: str) -> str:
+    return f"WITH {_DOCS}, {_WINDOWS}, {_salts(50)} SELECT doc_id, CAST(k AS BIGINT) AS k, min({function}(shingle || ' ' || salt)) AS least FROM sh, salts GROUP BY ALL"
 
 
 _PERTURBED = """
@@ -131,16 +167,16 @@ pt AS (SELECT doc_id, r, words, list_transform(words, lambda w, i: CASE WHEN i <
 """
 
 _TRIALS = f"""
-WITH {_DOCS}, {_salts(20)}, ts AS (SELECT * FROM (VALUES ('0.9', 0.9::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.7', 0.7::DOUBLE)) AS v(t, tv)), ks AS (SELECT unnest([3, 10, 20]) AS kk),
+WITH {_DOCS}, {_salts(200)}, ts AS (SELECT * FROM (VALUES ('1', 1::DOUBLE), ('0.9', 0.9::DOUBLE), ('0.7', 0.7::DOUBLE), ('0.5', 0.5::DOUBLE), ('0.3', 0.3::DOUBLE)) AS v(t, tv)), ks AS (SELECT unnest([3, 10, 20, 50, 100, 200]) AS kk),
 pd AS (SELECT doc_id, t, words, greatest(0, CAST(ceil(round(len(words) * (1 - tv) / (1 + tv), 9)) AS BIGINT) - 1) AS r FROM ld, ts),
-pt AS (SELECT doc_id, t, list_transform(words, lambda w, i: CASE WHEN i <= r THEN '**' ELSE w END) AS w FROM pd UNION ALL SELECT doc_id, '1', words FROM ld),
+pt AS (SELECT doc_id, t, list_transform(words, lambda w, i: CASE WHEN i <= r THEN '**' ELSE w END) AS w FROM pd UNION ALL SELECT doc_id, 'own', words FROM ld),
 x AS (SELECT DISTINCT doc_id, t, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, t, w, unnest(range(1, len(w) - 2)) AS i FROM pt WHERE len(w) >= 4)),
 n AS (SELECT doc_id, t, count(*) AS n FROM x GROUP BY ALL),
-i AS (SELECT a.doc_id, b.t, count(*) AS c FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.g = b.g AND a.t = '1' AND b.t <> '1' GROUP BY ALL),
-truth AS (SELECT a.doc_id, b.t, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS truth FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.t = '1' AND b.t <> '1' LEFT JOIN i ON i.doc_id = b.doc_id AND i.t = b.t),
+i AS (SELECT a.doc_id, b.t, count(*) AS c FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.g = b.g AND a.t = 'own' AND b.t <> 'own' GROUP BY ALL),
+truth AS (SELECT a.doc_id, b.t, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS truth FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.t = 'own' AND b.t <> 'own' LEFT JOIN i ON i.doc_id = b.doc_id AND i.t = b.t),
 m AS (SELECT doc_id, t, k, min(sha256(g || ' ' || salt)) AS h FROM x, salts GROUP BY ALL),
 mc AS (SELECT doc_id, t, kk, h, count(*) AS c FROM m JOIN ks ON m.k < kk GROUP BY ALL),
-est AS (SELECT a.doc_id, b.t, a.kk, CAST(sum(least(a.c, b.c)) AS BIGINT) AS m FROM mc a JOIN mc b ON a.doc_id = b.doc_id AND a.kk = b.kk AND a.h = b.h AND a.t = '1' AND b.t <> '1' GROUP BY ALL),
+est AS (SELECT a.doc_id, b.t, a.kk, CAST(sum(least(a.c, b.c)) AS BIGINT) AS m FROM mc a JOIN mc b ON a.doc_id = b.doc_id AND a.kk = b.kk AND a.h = b.h AND a.t = 'own' AND b.t <> 'own' GROUP BY ALL),
 trials AS (SELECT truth.t, ks.kk AS k, truth, coalesce(m, 0) / (2 * ks.kk - coalesce(m, 0)) AS estimate
   FROM truth CROSS JOIN ks LEFT JOIN est ON est.doc_id = truth.doc_id AND est.t = truth.t AND est.kk = ks.kk)
 """
@@ -169,6 +205,17 @@ WITH l AS (SELECT line_no, doc_id, array_to_string(list_filter(words, lambda w:
            FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS k FROM linedocs WHERE doc_id IS NOT NULL AND words IS NOT NULL) WHERE k = 1),
 w AS (SELECT doc_id, CASE WHEN n = 0 THEN [] ELSE string_split(rtrim(rest, chr(13) || chr(10)), ' ') END AS words FROM l)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(array_to_string(words, ' '), '') AS words FROM w
+""",
+    "file_reviews": rf"""
+WITH {_REVIEWS} SELECT nullif(product_id, '') AS product_id, helpfulness_num, helpfulness_den, coalesce(score, -1) AS score, trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) AS text FROM rv
+""",
+    "file_linedocs": f"""
+WITH {_DOCS}, w AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE string_split(array_to_string(words, ' '), ' ') END AS words FROM ld)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(array_to_string(words, ' '), '') AS words FROM w
+""",
+    "file_sgml": rf"""
+WITH {_DOCS}, w AS (SELECT regexp_extract_all(lower(regexp_replace(coalesce(array_to_string(words, ' '), ''), '(?s)<[^>]*>', ' ', 'g')), '[\p{{L}}\p{{N}}_]+') AS words FROM ld)
+SELECT CAST(len(words) AS BIGINT) AS n_words, coalesce(array_to_string(words, ' '), '') AS words FROM w
 """,
     "review_quality": f"WITH {_REVIEWS} SELECT review_id, round({_QUALITY}, 6) AS quality FROM rv",
     "perturb_docs": f"WITH {_DOCS}, {_PERTURBED} SELECT doc_id, CAST(len(list_filter(changed, lambda w: w = '**')) AS BIGINT) AS replaced, coalesce(array_to_string(changed, ' '), '') AS words FROM pt",
@@ -203,6 +250,14 @@ WITH {_REVIEWS} SELECT product_id, review_id FROM rv WHERE product_id IN (SELECT
 """,
     "posting_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, review_id, tf FROM pst WHERE term IN (SELECT term FROM qs)",
     "stored_index_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, review_id, tf FROM pst WHERE term IN (SELECT term FROM qs)",
+    "stored_lexicon": f"WITH {_INDEX} SELECT term, df, cf FROM lex",
+    "stored_reviews": f"WITH {_INDEX} SELECT review_id, product_id, helpfulness_num, helpfulness_den, coalesce(score, -1) AS score, length FROM meta",
+    "index_sizes": f"""
+WITH {_INDEX} SELECT 'reviews' AS name, count(*) AS rows, CAST(coalesce(sum(length(product_id)), 0) AS BIGINT) AS chars FROM meta
+UNION ALL SELECT 'postings', count(*), CAST(coalesce(sum(length(term)), 0) AS BIGINT) FROM pst
+UNION ALL SELECT 'lexicon', count(*), CAST(coalesce(sum(length(term)), 0) AS BIGINT) FROM lex
+UNION ALL SELECT 'corpus', 1, 0
+""",
     "df_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, coalesce(df, 0) AS df FROM (SELECT DISTINCT term FROM qs) LEFT JOIN lex USING (term)",
     "cf_lookup": f"WITH {_INDEX}, {_QUERIES} SELECT term, coalesce(cf, 0) AS cf FROM (SELECT DISTINCT term FROM qs) LEFT JOIN lex USING (term)",
     "query_weights": f"WITH {_INDEX}, {_QUERIES}, {_WT} SELECT query_id, term, round(weight, 6) AS weight FROM wt",
@@ -220,43 +275,36 @@ SELECT {_RANK}, product_id, score FROM (SELECT *, row_number() OVER (PARTITION B
 """,
     "shingles": f"WITH {_DOCS}, {_WINDOWS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS pos, shingle FROM sh",
     "shingles_sorted": f"WITH {_DOCS}, {_WINDOWS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ws) - 1 AS pos, shingle FROM sh",
-    "minhash_sha256": _minhash("sha256", 50),
-    "minhash_md5": _minhash("md5", 10),
-    "minhash_similar": f"WITH {_SKETCHES}, {_similar('sk', 'sketch', '0.8', 'x.doc_id < y.doc_id', 'p')} SELECT a, b, round(similarity, 6) AS similarity FROM p",
-    "minhash_search": f"WITH {_SKETCHES}, {_similar('sk', 'sketch', '0.5', 'x.doc_id <> y.doc_id AND ' + _ASKED % 'x.doc_id', 'p')} SELECT a, b, round(similarity, 6) AS similarity FROM p",
-    "word_jaccard": f"WITH {_DOCS}, {_similar('ld', 'words', '0.7', 'x.doc_id < y.doc_id', 'p')} SELECT a, b, round(similarity, 6) AS similarity FROM p",
+    "minhash_sha256": _minhash("sha256"),
+    "minhash_md5": _minhash("md5"),
+    "minhash_similar": f"WITH {_SKETCHES}, {_similar('sk', 'sketch', '0.8', 'p')} {_LINKS}",
+    "minhash_members": f"WITH {_SKETCHES}, {_similar('sk', 'sketch', '0.8', 'p')} {_MEMBERS}",
+    "minhash_search": f"WITH {_DOCS}, {_PROBES}, {_SKETCHES}, {_PROBE_SKETCHES}, {_similar('sk', 'sketch', '0.5', 'p', 'qk')} {_FOUND}",
+    "word_jaccard": f"WITH {_DOCS}, {_similar('ld', 'words', '0.7', 'p')} {_LINKS}",
+    "word_jaccard_members": f"WITH {_DOCS}, {_similar('ld', 'words', '0.7', 'p')} {_MEMBERS}",
     "simhash_bits": f"""
-WITH {_DOCS}, {_WINDOWS}, h AS (SELECT doc_id, sha256(shingle) AS h FROM sh),
-nib AS (SELECT doc_id, p, strpos('0123456789abcdef', substring(h, p, 1)) - 1 AS v FROM (SELECT doc_id, h, unnest(range(1, 65)) AS p FROM h)),
-ones AS (SELECT doc_id, p, count(*) AS n, sum((v >> 3) & 1) AS b3, sum((v >> 2) & 1) AS b2, sum((v >> 1) & 1) AS b1, sum(v & 1) AS b0 FROM nib GROUP BY ALL),
-maj AS (SELECT doc_id, p, CAST((2 * b3 > n)::INT * 8 + (2 * b2 > n)::INT * 4 + (2 * b1 > n)::INT * 2 + (2 * b0 > n)::INT AS INT) AS v FROM ones)
-SELECT doc_id, string_agg(substring('0123456789abcdef', v + 1, 1), '' ORDER BY p) AS signature FROM maj GROUP BY doc_id
-""",
-    "simhash_hamming_pairs": f"WITH {_SIGNATURES} SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM sg a JOIN sg b ON a.doc_id <> b.doc_id AND {_ASKED % 'a.doc_id'} WHERE {_HAM} <= 76",
-    "simhash_block_search": f"WITH {_SIGNATURES} SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM sg a JOIN sg b ON a.doc_id <> b.doc_id AND {_ASKED % 'a.doc_id'} WHERE {_HAM} <= 25",
-    "simhash_block_pairs": f"""
-WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS doc_id, s0, s1, s2, s3 FROM sg GROUP BY s0, s1, s2, s3)
-SELECT a.doc_id AS a, b.doc_id AS b, round(1 - {_HAM} / 256, 6) AS similarity FROM r a JOIN r b ON a.doc_id < b.doc_id WHERE {_HAM} <= 25
-""",
-    "simhash_block_members": f"""
-WITH {_SIGNATURES}, r AS (SELECT min(doc_id) AS class_id, count(*) AS size, s0, s1, s2, s3 FROM sg GROUP BY s0, s1, s2, s3),
-l AS (SELECT a.class_id, CAST(sum(b.size) AS BIGINT) - 1 AS links FROM r a JOIN r b ON {_HAM} <= 25 GROUP BY 1)
-SELECT doc_id, class_id, links FROM sg JOIN r USING (s0, s1, s2, s3) JOIN l USING (class_id)
+WITH {_DOCS}, {_WINDOWS}, {_nibbles("sh", "nb")}
+SELECT doc_id, string_agg(substring('0123456789abcdef', v + 1, 1), '' ORDER BY p) AS signature FROM nb GROUP BY doc_id
 """,
+    "simhash_hamming_pairs": f"WITH {_DOCS}, {_PROBES}, {_SIGNATURES}, {_PROBED} SELECT a, b, round(similarity, 6) AS similarity FROM hm WHERE h <= 76",
+    "simhash_block_search": f"WITH {_DOCS}, {_PROBES}, {_SIGNATURES}, {_PROBED}, p AS (SELECT * FROM hm WHERE h <= 25) {_FOUND}",
+    "simhash_block_pairs": f"WITH {_SIGNATURES}, {_SIGNATURE_PAIRS} {_LINKS}",
+    "simhash_block_members": f"WITH {_SIGNATURES}, {_SIGNATURE_PAIRS} {_MEMBERS}",
     "minhash_error": f"""
 {_TRIALS} SELECT t, k, count(*) AS trials, round(avg(abs(truth - estimate)), 6) AS mean_error FROM trials GROUP BY ALL
 """,
     "minhash_accuracy": f"""
-{_TRIALS} SELECT t, k, count(*) AS trials, round(100 * avg(CASE WHEN estimate >= 0.3 THEN 1.0 ELSE 0.0 END), 2) AS percent FROM trials GROUP BY ALL
+{_TRIALS} SELECT t, k, count(*) AS trials, round(100 * avg(CASE WHEN estimate >= round(CAST(t AS DOUBLE) - 0.1, 9) THEN 1.0 ELSE 0.0 END), 2) AS percent FROM trials GROUP BY ALL
 """,
     "sketch_over_threshold": f"""
-WITH {_SKETCHES}, i AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, unnest(sketch) AS h FROM sk) GROUP BY ALL),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(least(x.c, y.c)) AS BIGINT) AS m FROM i x JOIN i y ON x.h = y.h AND x.doc_id <> y.doc_id AND {_ASKED % 'x.doc_id'} GROUP BY 1, 2)
+WITH {_DOCS}, {_PROBES}, {_SKETCHES}, {_PROBE_SKETCHES},
+i AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, unnest(sketch) AS h FROM sk) GROUP BY ALL), q AS (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, unnest(sketch) AS h FROM qk) GROUP BY ALL),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(least(x.c, y.c)) AS BIGINT) AS m FROM q x JOIN i y ON x.h = y.h GROUP BY 1, 2)
 SELECT a, b, round(m / (100 - m), 6) AS similarity FROM o WHERE m / (100 - m) >= 0.03
 """,
     "streamed_lexicon": f"WITH {_INDEX} SELECT term, df, cf FROM lex",
     "recall_precision": f"""
-WITH {_SKETCHES}, {_DOCS}, {_similar('sk', 'sketch', '0.5', 'x.doc_id <> y.doc_id AND ' + _ASKED % 'x.doc_id', 'f')}, {_similar('ld', 'words', '0.5', 'x.doc_id <> y.doc_id AND ' + _ASKED % 'x.doc_id', 't')},
+WITH {_DOCS}, {_PROBES}, {_SKETCHES}, {_PROBE_SKETCHES}, {_similar('sk', 'sketch', '0.5', 'f', 'qk')}, {_similar('ld', 'words', '0.5', 't', 'qd')},
 j AS (SELECT coalesce(f.a, t.a) AS a, f.a IS NOT NULL AS inf, t.a IS NOT NULL AS int_ FROM f FULL JOIN t ON f.a = t.a AND f.b = t.b),
 c AS (SELECT a, count(*) FILTER (WHERE inf AND int_) AS true_positives, count(*) FILTER (WHERE inf AND NOT int_) AS false_positives, count(*) FILTER (WHERE NOT inf AND int_) AS false_negatives FROM j GROUP BY a)
 SELECT *, round(CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives) END, 6) AS recall,
@@ -266,14 +314,4 @@ SELECT *, round(CASE WHEN true_positives + false_negatives > 0 THEN true_positiv
     "sample_docs": f"WITH {_DOCS} SELECT doc_id FROM ld ORDER BY md5('1-' || doc_id), doc_id LIMIT 100",
     "helpful_accuracy": f"WITH {_REVIEWS} SELECT count(*) AS trials, round(100 * avg(CASE WHEN 2 * helpfulness_num > helpfulness_den THEN 1.0 ELSE 0.0 END), 2) AS percent FROM rv WHERE helpfulness_den > 0",
 }
-ORACLES |= {f"{name}_whole": sql.replace(_QUERIES, _WHOLE_QUERIES) for name, sql in ORACLES.items() if _QUERIES in sql}
-ORACLES |= {f"{name}_whole": sql.replace(_SKETCHES, _WHOLE_SKETCHES) for name, sql in ORACLES.items() if _SKETCHES in sql}
-_WHOLE_TRIALS = (
-    _TRIALS.replace("'1'", "'own'").replace(_salts(20), _salts(200)).replace("[3, 10, 20]", "[3, 10, 20, 50, 100, 200]")
-    .replace("('0.9', 0.9::DOUBLE), ('0.8', 0.8::DOUBLE), ('0.7', 0.7::DOUBLE)", "('1', 1::DOUBLE), ('0.9', 0.9::DOUBLE), ('0.7', 0.7::DOUBLE), ('0.5', 0.5::DOUBLE), ('0.3', 0.3::DOUBLE)")
-)
-ORACLES |= {
-    "minhash_md5_whole": _minhash("md5", 50),
-    "minhash_error_whole": ORACLES["minhash_error"].replace(_TRIALS, _WHOLE_TRIALS),
-    "minhash_accuracy_whole": ORACLES["minhash_accuracy"].replace(_TRIALS, _WHOLE_TRIALS).replace("estimate >= 0.3 ", "estimate >= round(CAST(t AS DOUBLE) - 0.1, 9) "),
-}
+ORACLES |= {f"{name}_reviews": sql.replace(_QUERIES, _REVIEW_QUERIES) for name, sql in ORACLES.items() if _QUERIES in sql}

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ranking
+from ..functions import bits, ranking
 from ..functions import text as tx
 from ..operators import evaluate as ev
 from ..operators import index as ix
@@ -21,6 +20,8 @@ from .barrier import with_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: A word that no collection holds.
+ABSENT = "qzxqueryword"
 
 
 def query(f: Query) -> Query:
@@ -36,6 +37,10 @@ def _reviews(spark: SparkSession, sf: str) -> DataFrame:
     return ix.latest_reviews(_table(spark, sf, "reviews"))
 
 
+def _known_scores(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.coalesce("score", F.lit(lookup.MISSING_NUMBER)))
+
+
 def _index(spark: SparkSession, sf: str) -> ix.Index:
     """The index with its postings and metadata written once, so a query tokenises each text once."""
     rows = _reviews(spark, sf)
@@ -47,18 +52,14 @@ def _index(spark: SparkSession, sf: str) -> ix.Index:
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch of queries: the first three tokens of each evaluation item; of every third item the first one
-    comes twice, and every fiftieth has a word that the collection lacks."""
-    words = tx.tokens(F.col("text"))
-    rows = _table(spark, sf, "eval_items").select("item_id", words.alias("w"))
-    twice = F.when(F.col("item_id") % 3 == 0, F.slice("w", 1, 1)).otherwise(F.array().cast("array<string>"))
-    absent = F.when(F.col("item_id") % 50 == 0, F.array(F.lit("bulba"))).otherwise(F.array().cast("array<string>"))
-    terms = F.concat(F.slice("w", 1, 3), twice, absent)
-    return rows.select(F.col("item_id").alias("query_id"), F.posexplode(terms).alias("pos", "term"))
-
-
-def _whole_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The query set of a search: all tokens, with repeats, of each review whose id is divisible by 50."""
+    """A batch of queries: all tokens, with repeats, of each evaluation item; every fiftieth has a word more that the collection lacks."""
+    absent = F.when(F.col("item_id") % 50 == 0, F.array(F.lit(ABSENT))).otherwise(F.array().cast("array<string>"))
+    terms = F.concat(tx.tokens(F.col("text")), absent)
+    return _table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), F.posexplode(terms).alias("pos", "term"))
+
+
+def _review_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The other batch: all tokens, with repeats, of each review whose id is divisible by 50."""
     rows = _reviews(spark, sf).where(F.col("review_id") % 50 == 0)
     return rows.select(F.col("review_id").alias("query_id"), F.posexplode(tx.tokens(F.col("text"))).alias("pos", "term"))
 
@@ -68,8 +69,26 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return with_once(rows, "words", tx.plain_words(F.col("words")))
 
 
-def _shingle_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.posexplode(tx.shingles(F.col("words"))).alias("pos", "shingle"))
+def _shingle_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", tx.shingles(F.col("words")).alias("shingles"))
+
+
+def _perturbed(rows: DataFrame) -> DataFrame:
+    """The query set of the near-duplicate searches: documents whose number is divisible by 50, with as many leading words
+    replaced as a word similarity of 0.95 allows."""
+    rows = rows.where(F.regexp_extract("doc_id", r"(\d+)$", 1).try_cast("bigint") % 50 == 0)
+    return with_once(rows, "words", tx.perturb(F.col("words"), 0.95))
+
+
+def _probe_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _perturbed(_docs(spark, sf))
+
+
+def _probe_shingles(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingles of the query set, of words spelled as in the stored shingles: lower case, letters and digits only."""
+    plain = F.transform("words", lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{Nd}]", ""))
+    rows = _perturbed(with_once(_docs(spark, sf), "words", F.filter(plain, lambda w: w != "")))
+    return rows.select("doc_id", tx.shingles(F.col("words")).alias("shingles"))
 
 
 def _signatures(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,9 +98,9 @@ def _signatures(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"r.{w}").alias(w) for w in words]).where("s0 is not null and s1 is not null and s2 is not null and s3 is not null")
 
 
-def asked(doc_id: Column) -> Column:
-    """The query set of a search: documents whose number is divisible by 50."""
-    return F.regexp_extract(doc_id, r"(\d+)$", 1).try_cast("bigint") % 50 == 0
+def _probe_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    features = _probe_shingles(spark, sf).where("size(shingles) > 0")
+    return storage.materialize(simhash.signatures(features, "doc_id", "shingles"), "probes")
 
 
 # Scans and scalar functions
@@ -117,6 +136,31 @@ def line_documents(spark, sf):
     return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
 
 
+@query
+def file_reviews(spark, sf):
+    """Reviews written as a file of blocks and read again; ids come from the place in the file, so they are left out; no score is -1."""
+    path = storage.new_path(spark, "reviews")
+    source_reviews.write_reviews(_reviews(spark, sf), path)
+    return _known_scores(source_reviews.read_reviews(spark, path).drop("review_id"))
+
+
+@query
+def file_linedocs(spark, sf):
+    """Line documents written as a file of lines and read again."""
+    path = storage.new_path(spark, "lines")
+    linedocs.write_linedocs(_docs(spark, sf), path)
+    rows = linedocs.latest_lines(linedocs.read_linedocs(spark, path))
+    return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query
+def file_sgml(spark, sf):
+    """Every line document as a body of SGML files, read again; ids come from the place in the file, so they are left out."""
+    path = storage.new_path(spark, "sgml")
+    _docs(spark, sf).select(F.concat(F.lit("<DOC><BODY>"), F.array_join("words", " "), F.lit("</BODY></DOC>")).alias("value")).write.text(path)
+    return sgml.read_sgml(spark, path).select(F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
 @query
 def review_quality(spark, sf):
     q = ranking.quality(F.col("score"), F.col("helpfulness_num"), F.col("helpfulness_den"))
@@ -213,12 +257,33 @@ def posting_lookup(spark, sf, batch=_queries):
     return lookup.postings_of_terms(batch(spark, sf), ix.term_frequencies(_reviews(spark, sf)))
 
 
+def _stored(spark: SparkSession, sf: str) -> ix.Index:
+    """The index written as tables and opened again."""
+    path = storage.new_path(spark, "index")
+    store.write_index(ix.build_index(_reviews(spark, sf)), path)
+    return store.read_index(spark, path)
+
+
 @query
 def stored_index_lookup(spark, sf, batch=_queries):
     """The same look-up from an index that is written, opened again and read by term."""
-    path = f"{storage.shared_dir(spark)}/lexiloom/index-{uuid.uuid4().hex}"
-    index = store.write_index(ix.build_index(_reviews(spark, sf)), path)
-    return lookup.postings_of_terms(batch(spark, sf), index.postings)
+    return lookup.postings_of_terms(batch(spark, sf), _stored(spark, sf).postings)
+
+
+@query
+def stored_lexicon(spark, sf):
+    return _stored(spark, sf).lexicon
+
+
+@query
+def stored_reviews(spark, sf):
+    return _known_scores(_stored(spark, sf).reviews)
+
+
+@query
+def index_sizes(spark, sf):
+    index = _stored(spark, sf)
+    return ev.table_sizes({name: getattr(index, name) for name in store.TABLES})
 
 
 @query
@@ -272,7 +337,7 @@ def product_search(spark, sf, batch=_queries):
 
 
 for _f in (posting_lookup, stored_index_lookup, df_lookup, cf_lookup, query_weights, query_weights_exact, vector_space_topk, language_model_topk, product_topk_vs, product_topk_lm, product_search):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, batch=_whole_queries)
+    QUERIES[f"{_f.__name__}_reviews"] = partial(_f, batch=_review_queries)
 
 
 # Near-duplicates
@@ -280,7 +345,7 @@ for _f in (posting_lookup, stored_index_lookup, df_lookup, cf_lookup, query_weig
 
 @query
 def shingles(spark, sf):
-    return _shingle_rows(spark, sf).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "shingle")
+    return _shingle_sets(spark, sf).select("doc_id", F.posexplode("shingles").alias("pos", "shingle")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "shingle")
 
 
 @query
@@ -289,72 +354,85 @@ def shingles_sorted(spark, sf):
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "shingle")
 
 
-def _sketch_rows(spark, sf, family, k):
-    found = minhash.sketches(_shingle_rows(spark, sf), minhash.salt_words(k), family)
+def _sketch_rows(spark, sf, family):
+    found = minhash.sketches(_shingle_sets(spark, sf), minhash.salt_words(50), family)
     return found.select("doc_id", F.posexplode("sketch").alias("k", "least")).withColumn("k", F.col("k").cast("bigint"))
 
 
 @query
 def minhash_sha256(spark, sf):
-    return _sketch_rows(spark, sf, "sha256", 50)
+    return _sketch_rows(spark, sf, "sha256")
 
 
 @query
 def minhash_md5(spark, sf):
-    return _sketch_rows(spark, sf, "md5", 10)
-
-
-@query
-def minhash_md5_whole(spark, sf):
-    return _sketch_rows(spark, sf, "md5", 50)
+    return _sketch_rows(spark, sf, "md5")
 
 
 @query
 def minhash_sha512(spark, sf):
-    return _sketch_rows(spark, sf, "sha512", 50)
+    return _sketch_rows(spark, sf, "sha512")
 
 
-def _sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored sketches: of each document the row built last, of full length and without inf or null."""
-    rows = _table(spark, sf, "sketches").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("built_at", "sketch")).alias("r"))
-    rows = rows.select("doc_id", "r.sketch")
-    return rows.where("size(sketch) = 50 and not exists(sketch, x -> x is null or x = 'inf')")
+def _clean(shingles: Column) -> Column:
+    """Shingles lower-cased and with single blanks; nulls and empty ones fall out."""
+    plain = F.transform(F.array_compact(shingles), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[ \t\r\n]+", " ")))
+    return F.filter(plain, lambda x: x != "")
 
 
-def _whole_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """Sketches, with one set of salts, of every document whose stored shingles of the last date aren't empty.
+def _sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of every document whose stored shingles of the last date aren't empty.
 
-    Stored sketches differ in length and their salts aren't known, so all are
-    computed anew.  Shingles are lower-cased, their white space is single blanks.
+    The stored sketches differ in length and nothing says which salts made
+    them, so all are computed from the shingles, with one set of salts that the
+    probes share.
     """
     last = _table(spark, sf, "shingles").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("built_at", "shingles")).alias("r"))
-    clean = F.trim(F.regexp_replace(F.lower("shingle"), r"[ \t\r\n]+", " "))
-    rows = last.select("doc_id", F.explode("r.shingles").alias("shingle")).select("doc_id", clean.alias("shingle")).where("shingle <> ''")
-    return storage.materialize(minhash.sketches(rows, minhash.salt_words(50)), "whole")
+    rows = with_once(last, "shingles", _clean(F.col("r.shingles")))
+    return storage.materialize(minhash.sketches(rows, minhash.salt_words(50)), "sketches")
+
+
+def _probe_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    return storage.materialize(minhash.sketches(_probe_shingles(spark, sf), minhash.salt_words(50)), "probes")
+
+
+def _links(links: DataFrame) -> DataFrame:
+    return links.select("a", "b", F.round("similarity", 6).alias("similarity"), "pairs")
+
+
+def _found(found: DataFrame) -> DataFrame:
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"), "records")
+
+
+@query
+def minhash_similar(spark, sf):
+    """Pairs of similar classes (documents of equal sketches), and how many pairs of documents each stands for."""
+    return _links(jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.8")[0])
 
 
 @query
-def minhash_similar(spark, sf, sketched=_sketches):
-    rows = jaccard.similar_lists(sketched(spark, sf), "doc_id", "sketch", "0.8")
-    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
+def minhash_members(spark, sf):
+    """Every document with a sketch, its class, and the number of documents similar to it."""
+    return jaccard.similar_lists(_sketches(spark, sf), "doc_id", "sketch", "0.8")[1].withColumnRenamed("id", "doc_id")
 
 
 @query
-def minhash_search(spark, sf, sketched=_sketches):
-    rows = jaccard.similar_lists(sketched(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
-    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
+def minhash_search(spark, sf):
+    return _found(jaccard.search_lists(_probe_sketches(spark, sf), _sketches(spark, sf), "doc_id", "sketch", "0.5")[0])
 
 
 @query
 def word_jaccard(spark, sf):
-    rows = jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.7")
-    return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return _links(jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.7")[0])
 
 
 @query
-def simhash_bits(spark, sf):
-    from ..functions import bits
+def word_jaccard_members(spark, sf):
+    return jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.7")[1].withColumnRenamed("id", "doc_id")
+
 
+@query
+def simhash_bits(spark, sf):
     features = _docs(spark, sf).select("doc_id", tx.shingles(F.col("words")).alias("features")).where("size(features) > 0")
     rows = simhash.signatures(features, "doc_id", "features")
     return rows.select("doc_id", bits.signature_hex([F.col(w) for w in bits.WORDS]).alias("signature"))
@@ -362,57 +440,61 @@ def simhash_bits(spark, sf):
 
 @query
 def simhash_hamming_pairs(spark, sf):
+    """The query set against all stored signatures, by direct comparison."""
     rows = storage.materialize(_signatures(spark, sf), "signatures")
-    found = simhash.hamming_search(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "0.7")
+    found = simhash.hamming_search(_probe_signatures(spark, sf), rows, "doc_id", "0.7")
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def simhash_block_search(spark, sf):
+    """The query set against the block index of the stored signatures, which is written and opened again."""
+    path = storage.new_path(spark, "blocks")
+    simhash.build_block_index(_signatures(spark, sf), "doc_id", "0.9", path=path)
+    return _found(simhash.block_search(_probe_signatures(spark, sf), simhash.open_block_index(spark, path), "doc_id"))
+
+
+def _similar_signatures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = storage.materialize(_signatures(spark, sf), "signatures")
-    found = simhash.block_search(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "0.9", 1)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return simhash.similar_signatures(rows, "doc_id", simhash.build_block_index(rows, "doc_id", "0.9"))
 
 
 @query
 def simhash_block_pairs(spark, sf):
-    rows = storage.materialize(_signatures(spark, sf), "signatures")
-    found = simhash.block_pairs(rows, "doc_id", "0.9", 2)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Pairs of similar classes (documents of equal signatures), and how many pairs of documents each stands for."""
+    return _links(_similar_signatures(spark, sf)[0])
 
 
 @query
 def simhash_block_members(spark, sf):
-    """The class of each document and its similar documents, beside the pairs of classes of simhash_block_pairs."""
-    rows = storage.materialize(_signatures(spark, sf), "signatures")
-    return simhash.block_members(rows, "doc_id", "0.9", 2)
+    """Every document with a signature, its class, and the number of documents similar to it."""
+    return _similar_signatures(spark, sf)[1]
 
 
 # Evaluation
 
 
 #: Thresholds and sketch lengths of the sweep.
-SWEEP_T, SWEEP_K = ("0.9", "0.8", "0.7"), (3, 10, 20)
-WHOLE_T, WHOLE_K = ("1", "0.9", "0.7", "0.5", "0.3"), (3, 10, 20, 50, 100, 200)
+SWEEP_T, SWEEP_K = ("1", "0.9", "0.7", "0.5", "0.3"), (3, 10, 20, 50, 100, 200)
 
 
-def _error_trials(spark: SparkSession, sf: str, ts: tuple[str, ...] = SWEEP_T, ks: tuple[int, ...] = SWEEP_K) -> DataFrame:
+def _error_trials(spark: SparkSession, sf: str) -> DataFrame:
     """Each document against itself perturbed for each threshold: exact and estimated similarity of the shingle sets.
 
     The first k minima of a sketch are the sketch of the first k salts, so one
     sketch serves all lengths.
     """
-    docs = _docs(spark, sf)
-    changed = F.array(F.struct(F.lit("own").alias("t"), F.col("words").alias("w")), *[F.struct(F.lit(t).alias("t"), tx.perturb(F.col("words"), float(t)).alias("w")) for t in ts])
+    # Hashing outweighs reading here by far, so a small table is spread over all cores.
+    docs = _docs(spark, sf).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+    changed = F.array(F.struct(F.lit("own").alias("t"), F.col("words").alias("w")), *[F.struct(F.lit(t).alias("t"), tx.perturb(F.col("words"), float(t)).alias("w")) for t in SWEEP_T])
     every = docs.select("doc_id", F.inline(changed))
-    every = with_once(every, "set", tx.shingles(F.col("w"))).where("size(set) > 0").select(F.struct("doc_id", "t").alias("key"), "set")
-    every = storage.materialize(every, "variants")
-    sketch = minhash.sketches(every.select("key", F.explode("set").alias("shingle")), minhash.salt_words(max(ks)), id_col="key")
-    made = storage.materialize(every.join(sketch, "key").select("key.*", "set", "sketch"), "sketched")
+    every = with_once(every, "set", tx.shingles(F.col("w"))).where("size(set) > 0").select(F.struct("doc_id", "t", "set").alias("key"), "set")
+    sketch = minhash.sketches(every, minhash.salt_words(max(SWEEP_K)), id_col="key", set_col="set")
+    made = storage.materialize(sketch.select("key.*", "sketch"), "sketched")
     own = made.where("t = 'own'").select("doc_id", F.col("set").alias("x"), F.col("sketch").alias("p"))
     met = made.where("t <> 'own'").join(own, "doc_id")
     truth = jaccard.overlap_similarity(F.size(F.array_intersect("x", "set")), F.size("x"), F.size("set"))
-    rows = met.select("doc_id", "t", truth.alias("truth"), "p", "sketch", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    rows = met.select("doc_id", "t", truth.alias("truth"), "p", "sketch", F.explode(F.array(*[F.lit(k) for k in SWEEP_K])).alias("k"))
     return rows.select("doc_id", "t", "k", "truth", minhash.sketch_similarity(F.slice("p", F.lit(1), F.col("k")), F.slice("sketch", F.lit(1), F.col("k"))).alias("estimate"))
 
 
@@ -423,27 +505,16 @@ def minhash_error(spark, sf):
 
 @query
 def minhash_accuracy(spark, sf):
-    """Share of perturbed documents whose sketch is still at least 0.3 similar to the original's."""
-    return ev.accuracy(_error_trials(spark, sf), F.col("estimate") >= 0.3, ["t", "k"])
-
-
-@query
-def minhash_error_whole(spark, sf):
-    return ev.mean_absolute_error(_error_trials(spark, sf, WHOLE_T, WHOLE_K), "truth", "estimate", ["t", "k"])
-
-
-@query
-def minhash_accuracy_whole(spark, sf):
     """Share of perturbed documents whose sketch is at least as similar to the original's as they were made, less 0.1."""
-    return ev.accuracy(_error_trials(spark, sf, WHOLE_T, WHOLE_K), F.col("estimate") >= F.round(F.col("t").cast("double") - 0.1, 9), ["t", "k"])
+    return ev.accuracy(_error_trials(spark, sf), F.col("estimate") >= F.round(F.col("t").cast("double") - 0.1, 9), ["t", "k"])
 
 
 @query
-def sketch_over_threshold(spark, sf, sketched=_sketches):
-    """The query set against all stored sketches, by direct comparison."""
-    numbers = F.transform("sketch", lambda x: F.xxhash64(x))  # arrays of numbers are compared faster
-    rows = storage.materialize(sketched(spark, sf).withColumn("sketch", numbers), "sketches")
-    found = ev.over_threshold(rows.where(asked(F.col("doc_id"))), rows, "doc_id", "sketch", minhash.sketch_similarity, 0.03)
+def sketch_over_threshold(spark, sf):
+    """The query set against all sketches, by direct comparison."""
+    numbers = lambda rows: rows.withColumn("sketch", F.transform("sketch", lambda x: F.xxhash64(x)))  # noqa: E731  arrays of numbers are compared faster
+    rows = storage.materialize(numbers(_sketches(spark, sf)), "numbers")
+    found = ev.over_threshold(numbers(_probe_sketches(spark, sf)), rows, "doc_id", "sketch", minhash.sketch_similarity, 0.03)
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -452,7 +523,7 @@ def streamed_lexicon(spark, sf):
     """The lexicon of an index that a stream of review files built up, one file per micro-batch."""
     from ..streaming import segments
 
-    path = f"{storage.shared_dir(spark)}/lexiloom/stream-{uuid.uuid4().hex}"
+    path = storage.new_path(spark, "stream")
     source = _table(spark, sf, "reviews")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/reviews.parquet*")
     segments.start(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
@@ -460,10 +531,14 @@ def streamed_lexicon(spark, sf):
 
 
 @query
-def recall_precision(spark, sf, sketched=_sketches):
+def recall_precision(spark, sf):
     """The query set's partners by sketches (0.5) against those by word lists (0.5), per query."""
-    found = jaccard.similar_lists(sketched(spark, sf), "doc_id", "sketch", "0.5", queries=asked(F.col("id")))
-    truth = jaccard.similar_lists(_docs(spark, sf), "doc_id", "words", "0.5", queries=asked(F.col("id")))
+
+    def partners(found: DataFrame, members: DataFrame) -> DataFrame:
+        return found.select("a", F.col("b").alias("class_id")).join(members, "class_id").select("a", F.col("id").alias("b"))
+
+    found = partners(*jaccard.search_lists(_probe_sketches(spark, sf), _sketches(spark, sf), "doc_id", "sketch", "0.5"))
+    truth = partners(*jaccard.search_lists(_probe_docs(spark, sf), _docs(spark, sf), "doc_id", "words", "0.5"))
     out = ev.recall_precision(found, truth, ["a", "b"], "a")
     return out.select("a", "true_positives", "false_positives", "false_negatives", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
@@ -483,7 +558,3 @@ def helpful_accuracy(spark, sf):
     """Share of reviews with votes that more than half of the voters found helpful."""
     rows = _reviews(spark, sf).where("helpfulness_den > 0")
     return ev.accuracy(rows, 2 * F.col("helpfulness_num") > F.col("helpfulness_den"))
-
-
-for _f in (minhash_similar, minhash_search, sketch_over_threshold, recall_precision):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, sketched=_whole_sketches)

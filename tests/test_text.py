@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import bits, ranking
@@ -58,41 +59,88 @@ def test_multiset_similarity(spark):
     assert found[("x", "none")] == 0 and found[("none", "nil")] is None
 
 
-def test_similar_lists_equals_brute_force(spark):
+def similar_counts(docs, num, den):
+    """All similar pairs of ids, and classes of equal lists, by comparing every pair."""
     import itertools
-    import random
     from collections import Counter
 
-    rng = random.Random(5)
+    bags = {k: Counter(x for x in v or [] if x is not None) for k, v in docs.items()}
+    sizes = {k: len(v or []) for k, v in docs.items()}
+    pairs = set()
+    for a, b in itertools.combinations(sorted(docs), 2):
+        both = (bags[a] & bags[b]).total()
+        if both and both * den >= (sizes[a] + sizes[b] - both) * num:
+            pairs.add((a, b))
+    key = {k: (sizes[k], tuple(sorted(bags[k].items()))) for k in docs}
+    return pairs, {k: min(x for x in docs if key[x] == key[k]) for k in docs}
+
+
+def list_docs(rng):
     docs = {f"d{i}": [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for i in range(60)}
-    docs |= {"none": None, "nulls": [None, "a"], "copy": list(docs["d3"])}
-    frame = spark.createDataFrame(list(docs.items()), "id string, items array<string>")
-    for t, exact in (("0.5", (1, 2)), ("0.8", (4, 5)), ("1", (1, 1))):
-        wanted = set()
-        for a, b in itertools.combinations(sorted(docs), 2):
-            x, y = (Counter(i for i in (docs[k] or []) if i is not None) for k in (a, b))
-            nx, ny = len(docs[a] or []), len(docs[b] or [])
-            both = (x & y).total()
-            if both and both * exact[1] >= (nx + ny - both) * exact[0]:
-                wanted.add((a, b))
-        found = {(r["a"], r["b"]) for r in jaccard.similar_lists(frame, "id", "items", t).collect()}
-        assert found == wanted
-    jaccard.BLOCK, kept = 2, jaccard.BLOCK  # hot keys in blocks give the same pairs
+    return docs | {"none": None, "nulls": [None, "a"], "nulls2": ["a", None], "void": [None, None], "void2": [None, None], "copy": list(docs["d3"]), "copy2": list(docs["d3"])[::-1]}
+
+
+def test_similar_lists_equals_brute_force(spark):
+    import random
+
+    docs = list_docs(random.Random(5))
+    frame = spark.createDataFrame([(*r, "x") for r in docs.items()], "id string, items array<string>, class_id string")
+    jaccard_block = jaccard.BLOCK
     try:
-        assert {(r["a"], r["b"]) for r in jaccard.similar_lists(frame, "id", "items", "1").collect()} == wanted
+        for t, exact, block in (("0.5", (1, 2), 2_000), ("0.8", (4, 5), 2), ("1", (1, 1), 2), ("0.3", (3, 10), 2_000)):
+            jaccard.BLOCK = block  # hot keys in blocks give the same pairs
+            pairs, classes = similar_counts(docs, *exact)
+            links, members = jaccard.similar_lists(frame, "id", "items", t)
+            wanted = {}
+            for a, b in pairs:
+                x, y = sorted((classes[a], classes[b]))
+                wanted[x, y] = wanted.get((x, y), 0) + 1
+            assert {(r["a"], r["b"]): r["pairs"] for r in links.collect()} == wanted
+            assert {r["id"]: (r["class_id"], r["links"]) for r in members.collect()} == {k: (classes[k], sum(k in p for p in pairs)) for k in docs}
     finally:
-        jaccard.BLOCK = kept
+        jaccard.BLOCK = jaccard_block
+
+
+def test_search_lists_equals_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(7)
+    docs = list_docs(rng)
+    asked = {f"d{i}": list(docs[f"d{i}"]) for i in range(3, 12)} | {"q1": list("abcabc"), "q2": None, "q3": ["zzz"], "q4": docs["d3"][::-1]}
+    kind = "id string, items array<string>"
+    found, members = jaccard.search_lists(spark.createDataFrame(list(asked.items()), kind), spark.createDataFrame(list(docs.items()), kind), "id", "items", "0.5")
+    _, classes = similar_counts(docs, 1, 2)
+    wanted = {}
+    for q, x in asked.items():
+        for k, y in docs.items():
+            both = (Counter(x or []) & Counter(v for v in y or [] if v is not None)).total()
+            if both and 2 * both >= len(x) + len(y) - both:
+                wanted[q, classes[k]] = wanted.get((q, classes[k]), 0) + 1
+    assert {(r["a"], r["b"]): r["records"] for r in found.collect()} == wanted
+    assert {r["id"]: r["class_id"] for r in members.collect()} == classes
+
+
+def test_many_copies_form_no_pairs(spark):
+    rows = spark.range(1000).select(F.format_string("c%04d", "id").alias("id"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("items"))
+    links, members = jaccard.similar_lists(rows, "id", "items", "0.8")
+    assert [(r["a"], r["b"], r["pairs"]) for r in links.collect()] == [("c0000", "c0000", 999 * 500)]
+    assert {(r["class_id"], r["links"]) for r in members.collect()} == {("c0000", 999)} and members.count() == 1000
+    signed = rows.select("id", *[F.lit(7).cast("bigint").alias(w) for w in bits.WORDS])
+    links, members = simhash.similar_signatures(signed, "id", simhash.build_block_index(signed, "id", "0.9"))
+    assert [(r["a"], r["b"], r["pairs"]) for r in links.collect()] == [("c0000", "c0000", 999 * 500)] and members.count() == 1000
+    none = rows.limit(0)
+    assert all(x.count() == 0 for x in jaccard.similar_lists(none, "id", "items", "0.8"))
 
 
 def test_sketches(spark):
-    rows = spark.createDataFrame([("d", "a b c d"), ("d", "b c d e"), ("n", None)], "doc_id string, shingle string")
+    rows = spark.createDataFrame([("d", ["a b c d", None, "b c d e", "a b c d"]), ("n", None), ("e", []), ("m", [None]), (None, ["a"])], "doc_id string, shingles array<string>")
     found = minhash.sketches(rows, ["abcd", "WXYZ"]).collect()
     assert [r["doc_id"] for r in found] == ["d"]
     assert [h[:16] for h in found[0]["sketch"]] == ["5f2741415fd55132", "3f34c610a6889994"]
     assert len(set(minhash.salt_words(50))) == 50 and minhash.salt_words(3) == minhash.salt_words(50)[:3]
     same = spark.createDataFrame([(["a"] * 2 + ["b"], ["a", "b", "b"])], "p array<string>, q array<string>")
     assert same.select(minhash.sketch_similarity(F.col("p"), F.col("q")).alias("s")).first()["s"] == 0.5
-    assert minhash.needed_matches(50, "0.9") == 48
 
 
 def test_signatures(spark):
@@ -114,22 +162,47 @@ def test_blocks_and_permutations():
     assert turned.startswith(word[30:40]) and sorted(turned) == sorted(word)
 
 
-def test_block_search_finds_what_direct_comparison_finds(spark):
+def signed(value):
+    """The four words of a 256-bit number."""
+    return [x - 2**64 if x >= 2**63 else x for x in ((value >> (192 - 64 * k)) & (2**64 - 1) for k in range(4))]
+
+
+def test_blocks_grow_with_the_table():
+    assert [bits.blocks_for(n, "0.9") for n in (1, 100, 10_000, 10**8)] == [1, 1, 2, 3]
+    assert bits.blocks_for(10**6, "0.7") > bits.blocks_for(10**6, "0.9")
+
+
+def test_block_search_finds_what_direct_comparison_finds(spark, tmp_path):
+    """All thresholds and block numbers of the sweep; the index is written and opened again, hot keys are split."""
     import random
 
     rng = random.Random(3)
-    base = [rng.getrandbits(256) for _ in range(12)]
-    values = base + [b ^ sum(1 << k for k in rng.sample(range(256), rng.randint(0, 30))) for b in base for _ in range(4)]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    frame = spark.createDataFrame([(f"d{i:03}", *[signed((v >> (192 - 64 * k)) & (2**64 - 1)) for k in range(4)]) for i, v in enumerate(values)], "doc_id string, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    wanted = {(f"d{i:03}", f"d{j:03}") for i in range(len(values)) for j in range(len(values)) if i != j and (values[i] ^ values[j]).bit_count() <= 25}
-    for b in (1, 2):
-        assert {(r["a"], r["b"]) for r in simhash.block_search(frame, frame, "doc_id", "0.9", b).collect()} == wanted
-    assert {(r["a"], r["b"]) for r in simhash.hamming_search(frame, frame, "doc_id", "0.9").collect()} == wanted
-    reps = {}
-    for i, v in enumerate(values):
-        reps.setdefault(v, f"d{i:03}")
-    assert {(r["a"], r["b"]) for r in simhash.block_pairs(frame, "doc_id", "0.9", 1).collect()} == {(a, b) for a, b in wanted if a < b and a in reps.values() and b in reps.values()}
+    base = [rng.getrandbits(256) for _ in range(4)]
+    values = base + base[:2] * 3 + [b ^ sum(1 << k for k in rng.sample(range(256), rng.randint(1, 80))) for b in base for _ in range(4)]
+    schema = "doc_id string, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    frame = spark.createDataFrame([(f"d{i:03}", *signed(v)) for i, v in enumerate(values)] + [("none", None, None, None, None)], schema)
+    asked = spark.createDataFrame([(f"q{i}", *signed(values[i] ^ i)) for i in range(5)] + [("nil", None, 1, 1, 1)], schema)
+    simhash.BLOCK, kept = 3, simhash.BLOCK
+    try:
+        for t, m in (("0.9", 25), ("0.8", 51), ("0.7", 76)):
+            first = {v: f"d{values.index(v):03}" for v in values}
+            wanted = {}
+            for i in range(5):
+                for v in values:
+                    if ((values[i] ^ i) ^ v).bit_count() <= m:
+                        wanted[f"q{i}", first[v]] = wanted.get((f"q{i}", first[v]), 0) + 1
+            direct = {}
+            for r in simhash.hamming_search(asked, frame, "doc_id", t).collect():
+                key = (r["a"], first[values[int(r["b"][1:])]])
+                direct[key] = direct.get(key, 0) + 1
+            assert direct == wanted
+            for b in (1, 2, 3) if t == "0.9" else (1, 2):
+                simhash.build_block_index(frame, "doc_id", t, b, f"{tmp_path}/{t}-{b}")
+                index = simhash.open_block_index(spark, f"{tmp_path}/{t}-{b}")
+                found = simhash.block_search(asked, index, "doc_id").collect()
+                assert {(r["a"], r["b"]): r["records"] for r in found} == wanted and len(found) == len(wanted)
+    finally:
+        simhash.BLOCK = kept
 
 
 def test_compat_similarity_ignores_shared_leading_zeros(spark):
@@ -146,7 +219,11 @@ def test_codec_round_trip(spark):
     rng = random.Random(1)
     for n in (0, 1, 3, 4, 5, 9):
         numbers = [rng.choice([0, 1, 255, 256, 65_535, 65_536, 2**24 - 1, 2**24, 2**32 - 1]) for _ in range(n)]
-        assert codec.decode(codec.encode(numbers), n) == numbers
+        assert codec.decode(codec.encode(numbers), n).tolist() == numbers
+    assert codec.encode([1, 300, 70_000]) == bytes([0b00_01_10_00, 1, 44, 1, 0x70, 0x11, 1])
+    for wrong in ([-1], [2**32]):
+        with pytest.raises(ValueError):
+            codec.encode(wrong)
     frame = spark.createDataFrame([([1, 300, 70_000],), (None,)], "x array<bigint>")
     back = frame.withColumn("b", codec.encode_column(F.col("x"))).withColumn("y", codec.decode_column(F.col("b"), F.size("x")))
     assert [r["y"] for r in back.collect()] == [[1, 300, 70_000], None]
