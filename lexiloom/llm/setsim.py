@@ -20,6 +20,7 @@ pair, and a record with fewer than ceil(t n) shared elements is dropped at once.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ from .ratios import as_fraction
 
 #: Elements tracked while frequent ones are looked for; heavy ones kept, at most.
 HEAVY_TRACKED, HEAVY_ELEMENTS = 65_536, 4_096
-#: Pivots are taken among records of at most so many elements, and so many times as many are looked at; both bound what is collected.
-PIVOT_ELEMENTS, PIVOT_CHOICE = 1_024, 4
+#: There is a pivot for PIVOT_SHARE records that share enough elements to have a partner, but at least LEAST_PIVOTS and at most
+#: MOST_PIVOTS.  They are taken among records of at most PIVOT_ELEMENTS elements; PIVOT_CHOICE times as many are looked at, of
+#: PIVOT_TOTAL elements together.  This bounds what is collected and sent out.
+PIVOT_SHARE, LEAST_PIVOTS, MOST_PIVOTS, PIVOT_ELEMENTS, PIVOT_CHOICE, PIVOT_TOTAL = 4, 256, 20_000, 1_024, 4, 2_000_000
 #: A key of the join inside the cells is split into blocks of about so many records.
 BLOCK = 2_000
 #: The cell of the records that no pivot has within its radius.
@@ -52,7 +55,7 @@ def _fingerprint(tokens: Column) -> Column:
 
 
 def _heavy(rows: DataFrame, tokens: str) -> list[int]:
-    """Elements that an approximate sketch finds most often: those above 1/1000 of the records.
+    """Elements that an approximate sketch finds most often: those above 1/50,000 of all rows of elements, and 100.
 
     Only a hint for the plan: which elements are in the list changes no result.
     """
@@ -170,15 +173,22 @@ def _pivots(alive: DataFrame, pivots: int, apart: float) -> list[np.ndarray]:
     most frequent elements come first.  One that is close to a pivot already
     taken is passed over, so that a large group doesn't fill all cells alike.
     """
-    regions = alive.where(f"n <= {PIVOT_ELEMENTS}").select("cls", F.element_at("prefix", -1).alias("top")).groupBy("top.t", "top.df").agg(F.min("cls").alias("cls"))
-    chosen = regions.orderBy(F.desc("df"), "t").limit(PIVOT_CHOICE * pivots).select("cls", "df")
-    rows = alive.join(F.broadcast(chosen), "cls").select("cls", "df", "tokens").collect() if pivots else []
+    if not pivots:
+        return []
+    regions = alive.where(f"n <= {PIVOT_ELEMENTS}").select("cls", "n", F.element_at("prefix", -1).alias("top")).groupBy("top.t", "top.df").agg(F.min(F.struct("cls", "n")).alias("r"))
+    listed = regions.orderBy(F.desc("df"), "t").limit(PIVOT_CHOICE * pivots).select("r.cls", "r.n", "df").collect()  # two numbers a row
+    fits = [r for r, total in zip(listed, np.cumsum([r["n"] for r in listed])) if total <= PIVOT_TOTAL]
+    chosen = alive.sparkSession.createDataFrame([(r["cls"], r["df"]) for r in fits], "cls bigint, df bigint")
+    rows = alive.join(F.broadcast(chosen), "cls").select("cls", "df", "tokens").collect()  # at most PIVOT_TOTAL elements
     taken: list[np.ndarray] = []
+    holders: dict[int, list[int]] = defaultdict(list)  # of an element the pivots that have it
     for row in sorted(rows, key=lambda r: (-r["df"], r["cls"])):
-        tokens = np.array(row["tokens"], dtype=np.int64)
-        both = [len(np.intersect1d(tokens, t, assume_unique=True)) for t in taken]
-        if all(1 - c / (len(tokens) + len(t) - c) > apart for c, t in zip(both, taken)):
-            taken.append(tokens)
+        both = Counter(p for t in row["tokens"] for p in holders.get(t, ()))
+        n = len(row["tokens"])
+        if all(1 - c / (n + len(taken[p]) - c) > apart for p, c in both.items()):
+            for t in row["tokens"]:
+                holders[t].append(len(taken))
+            taken.append(np.array(row["tokens"], dtype=np.int64))
             if len(taken) == pivots:
                 break
     return taken
@@ -206,11 +216,11 @@ def _cells(pivots: list[np.ndarray], reach: float):
                 cells: list[dict] = []
                 if len(hits):
                     spans = [index[lo[j] : hi[j]] for j in hits]
-                    both = np.bincount(np.concatenate(spans), minlength=len(sizes))
-                    distance = 1.0 - both / (sizes + (b - a) - both)
+                    pivot, both = np.unique(np.concatenate(spans), return_counts=True)
+                    distance = 1.0 - both / (sizes[pivot] + (b - a) - both)
                     near = np.flatnonzero(distance <= reach + 1e-9)
                     near = near[np.argsort(distance[near], kind="stable")]
-                    cells = [{"cell": int(p), "d": float(distance[p])} for p in near]
+                    cells = [{"cell": int(pivot[k]), "d": float(distance[k])} for k in near]
                 found.append(cells)
             kind = pa.list_(pa.struct([("cell", pa.int32()), ("d", pa.float64())]))
             yield pa.record_batch([batch.column("cls"), pa.array(found, kind)], names=["cls", "near"])
@@ -218,7 +228,7 @@ def _cells(pivots: list[np.ndarray], reach: float):
     return kernel
 
 
-def similar_classes(classes: DataFrame, threshold=0.5, pivots: int = 256, radius: float = 0.2) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold=0.5, pivots: int | None = None, radius: float = 0.2) -> DataFrame:
     """Pairs (cls_a < cls_b, both, n_a, n_b) of classes with Jaccard similarity >= threshold.
 
     ``classes`` has (cls BIGINT distinct, n, tokens sorted distinct BIGINTs);
@@ -243,6 +253,7 @@ def similar_classes(classes: DataFrame, threshold=0.5, pivots: int = 256, radius
     alive = alive.withColumn("own", F.expr("n - size(held)")).withColumn("length", F.expr("n - need + 1 - own"))
     alive = alive.where("length > 0").select("cls", "n", "need", "own", "tokens", F.expr("slice(held, 1, length)").alias("prefix"))
     alive = materialize(alive, "alive")
+    pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, alive.count() // PIVOT_SHARE)) if pivots is None else pivots
     centres = _pivots(alive, pivots, eps)
     near = alive.select("cls", "tokens").mapInArrow(_cells(centres, radius + eps), "cls bigint, near array<struct<cell:int,d:double>>")
     near = materialize(near, "cells")
@@ -288,7 +299,7 @@ def similar_pairs(
     right: DataFrame | None = None,
     latest_by: str | None = None,
     min_size: int = 1,
-    pivots: int = 256,
+    pivots: int | None = None,
     radius: float = 0.2,
 ) -> tuple[DataFrame, DataFrame]:
     """Similar pairs within ``left``, or between ``left`` and ``right``.
