@@ -175,7 +175,8 @@ def near_duplicate_groups(
     keys = materialize(keys, "bands")
     # Buckets of one class are dropped by a count that is combined on the map side.
     buckets = keys.groupBy("band").agg(F.min("cls").alias("lead"), F.min_by("n", "cls").alias("lead_n"), F.count("*").alias("rows")).where("rows > 1")
-    shared = materialize(keys.join(buckets.select("band", "lead", "lead_n"), "band"), "shared")
+    # The largest buckets are looked up in a broadcast of a few numbers each, so a bucket of a third of all classes isn't one task.
+    shared = materialize(heavy_light_join(keys, materialize(buckets, "buckets"), "band", "rows").select(*keys.columns, "lead", "lead_n"), "shared")
     fits = f"n * {num} <= lead_n * {den} and lead_n * {num} <= n * {den}"
     star = shared.where("cls <> lead").where(fits).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     links = materialize(_verified(star, sets, threshold), "links")
