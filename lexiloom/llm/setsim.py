@@ -37,7 +37,7 @@ HEAVY_TRACKED, HEAVY_ELEMENTS = 65_536, 4_096
 #: There is a pivot for PIVOT_SHARE records that share enough elements to have a partner, but at least LEAST_PIVOTS and at most
 #: MOST_PIVOTS.  They are taken among records of at most PIVOT_ELEMENTS elements; PIVOT_CHOICE times as many are looked at, of
 #: PIVOT_TOTAL elements together.  This bounds what is collected and sent out.
-PIVOT_SHARE, LEAST_PIVOTS, MOST_PIVOTS, PIVOT_ELEMENTS, PIVOT_CHOICE, PIVOT_TOTAL = 4, 256, 20_000, 1_024, 4, 2_000_000
+PIVOT_SHARE, LEAST_PIVOTS, MOST_PIVOTS, PIVOT_ELEMENTS, PIVOT_CHOICE, PIVOT_TOTAL = 4, 256, 20_000, 1_024, 2, 400_000
 #: A key of the join inside the cells is split into blocks of about so many records.
 BLOCK = 2_000
 #: The cell of the records that no pivot has within its radius.
