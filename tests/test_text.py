@@ -227,3 +227,28 @@ def test_codec_round_trip(spark):
     frame = spark.createDataFrame([([1, 300, 70_000],), (None,)], "x array<bigint>")
     back = frame.withColumn("b", codec.encode_column(F.col("x"))).withColumn("y", codec.decode_column(F.col("b"), F.size("x")))
     assert [r["y"] for r in back.collect()] == [[1, 300, 70_000], None]
+
+
+def test_sketch_trials_equal_sketches_and_hash_each_shingle_once(spark, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    salts = minhash.salt_words(20)
+    docs = {f"d{i}": ([f"x{j}" for j in range(i, i + 12)], [f"x{j}" for j in range(i + 3, i + 15)], ["y"] * 1 + [f"x{j}" for j in range(i, i + 5)]) for i in range(4)}
+    frame = spark.createDataFrame([(d, *sets) for d, sets in docs.items()] + [("empty", ["x"], [], ["x"])], "doc_id string, own array<string>, p array<string>, q array<string>")
+    found = {(r["doc_id"], r["t"], r["k"]): (r["truth"], r["estimate"]) for r in minhash.sketch_trials(frame, salts, [3, 20], "own", {"0.9": "p", "0.5": "q"}).collect()}
+    least = lambda part, k: [min(hashlib.sha256(f"{x} {w}".encode()).hexdigest() for x in part) for w in salts[:k]]
+    wanted = {}
+    for d, (own, *others) in docs.items():
+        for t, part in zip(("0.9", "0.5"), others):
+            for k in (3, 20):
+                same = sum(a == b for a, b in zip(least(own, k), least(part, k)))
+                wanted[d, t, k] = (len({*own} & {*part}) / len({*own} | {*part}), same / (2 * k - same))
+    assert found == wanted
+    hashed = []
+    monkeypatch.setitem(minhash.FAMILIES, "sha256", lambda x=b"": hashed.append(x) or hashlib.sha256(x))
+    batch = pa.record_batch([pa.array(list(docs)), pa.array([list(sets) for sets in docs.values()])], names=["doc_id", "_sets"])
+    list(minhash._trial_kernel(salts, [3, 20], ["0.9", "0.5"], "sha256", "doc_id")(iter([batch])))
+    distinct = {x for sets in docs.values() for part in sets for x in part}
+    assert len([x for x in hashed if x]) == len(distinct) * len(salts)
