@@ -275,3 +275,7 @@ def test_block_pairs_keep_few_rows_and_meet_in_groups_of_any_size(spark, monkeyp
         assert {(r["a"], r["b"], round(256 * (1 - r["similarity"]))) for r in links} == wanted and len(links) == len(wanted)
         # Before, a row per class and choice of blocks was stored.
         assert index.keys.count() < len(values)
+        asked = frame.where("id >= 'd030'")
+        found = simhash.block_search(asked, index, "id").collect()
+        near = {(a, b) for x, y, _ in wanted for a, b in ((x, y), (y, x)) if a >= "d030"} | {(f"d{i:03}",) * 2 for i in range(30, 36)}
+        assert {(r["a"], r["b"]) for r in found} == near and len(found) == len(near)
