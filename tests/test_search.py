@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import index as ix
 from lexiloom.operators import lookup, search
+from lexiloom.plans import storage
 from lexiloom.sources import linedocs, reviews, sgml, store
 from lexiloom.streaming import segments
 
@@ -176,3 +177,33 @@ def test_sgml(spark, tmp_path):
     path = tmp_path / "a.sgm"
     path.write_text("<REUTERS><BODY>Oil <b>prices</b>\nrose 5.2 pct.</BODY></REUTERS><x><body></body><body>Cocoa_x</body>")
     assert [(r["doc_id"], r["words"]) for r in sgml.read_sgml(spark, str(path)).orderBy("doc_id").collect()] == [(0, ["oil", "prices", "rose", "5", "2", "pct"]), (1, []), (2, ["cocoa_x"])]
+
+
+def test_only_the_best_of_a_block_leave_it_and_no_plan_choice_changes_them(spark, monkeypatch):
+    """Against the sums by rows of query, review and term; with ties, copies, zero weights, and terms the collection lacks."""
+    import random
+
+    rng = random.Random(4)
+    words = ["the", "a", "b", "c", "d", "e", "f", "g"]
+    texts = ["the " + " ".join(rng.choices(words, [9, 5, 4, 3, 2, 2, 1, 1], k=rng.randint(1, 6))) for _ in range(60)] + ["the a b"] * 20
+    rows = [(i, "P", 0, 0, 3, t, 0) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    frame = spark.createDataFrame(rows, "review_id bigint, product_id string, helpfulness_num int, helpfulness_den int, score int, text string, loaded_at bigint")
+    built = ix.build_index(ix.latest_reviews(frame))
+    built = ix.Index(*[storage.materialize(getattr(built, n), n) for n in ("reviews", "postings", "lexicon", "corpus")])
+    asked = [(q, t) for q in range(12) for t in rng.choices(words, k=rng.randint(1, 4))] + [(3, "lacking"), (90, "the"), (91, "lacking"), (None, "a")]
+    queries = spark.createDataFrame([(q, i, t) for i, (q, t) in enumerate(asked)], "query_id bigint, pos int, term string")
+    plain = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    columns = ["query_id", "rank", "review_id", "score"]
+    vs = plain(search.top_k(search.vector_space_scores(queries, built), "review_id", 5).select(columns))
+    lm = plain(search.top_k(search.language_model_scores(queries, built, 0.5), "review_id", 5).select(columns))
+    for reviews, few, chunk, whole in ((65_536, 8_192, 32_768, 256), (7, 7, 3, 1)):
+        for name, value in (("REVIEWS", reviews), ("FEW_REVIEWS", few), ("QUERIES", chunk), ("WHOLE", whole)):
+            monkeypatch.setattr(search, name, value)
+        assert plain(search.vector_space_search(queries, built, 5)) == vs
+        assert plain(search.language_model_search(queries, built, 0.5, 5)) == lm
+    monkeypatch.setattr(search, "REVIEWS", 65_536)
+    monkeypatch.setattr(search, "FEW_REVIEWS", 8_192)
+    one = spark.createDataFrame([(1, "the")], "query_id bigint, term string")
+    sums = search.best_sums(one, one.selectExpr("query_id", "term", "1.0D AS weight"), built, F.col("tf") * 1.0, 5)
+    # Before, a row of each of the 80 reviews went to the shuffle.
+    assert sums.count() <= 5 * len({r["tf"] for r in built.postings.where("term = 'the'").collect()})
