@@ -7,8 +7,11 @@ for how many records they stand; membership has the class of every record.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from ..plans.storage import materialize
 
 #: A join key is split into blocks of about so many classes.
 BLOCK = 2_000
+#: Items of a batch of queries, at most, for which every task holds the queries of each item; queries of a pass.
+HELD, PASS = 4_000_000, 16_384
 
 
 def numbered_items(records: DataFrame, id_col: str, items_col: str) -> DataFrame:
@@ -135,6 +140,102 @@ def similar_lists(records: DataFrame, id_col: str, items_col: str, threshold) ->
     return links, members
 
 
+def _elements(flat: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Numbers of items and their occurrence in a row, so that sets of them are the multisets; rows are in order."""
+    order = np.lexsort((flat, row))
+    a, r = flat[order], row[order]
+    new = np.flatnonzero(np.diff(r, prepend=-1).astype(bool) | (a != np.roll(a, 1)))
+    nth = np.arange(len(a)) - np.repeat(new, np.diff(new, append=len(a)))
+    out = np.empty(len(a), np.int64)
+    out[order] = a ^ (nth * 0x1E3779B97F4A7C15)  # the first occurrence is the item itself
+    return out
+
+
+class _Asked:
+    """The queries of each item, as places of the queries; items of many queries have a row of counts for all of them."""
+
+    def __init__(self, lengths: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        self.lengths = lengths
+        query = np.repeat(np.arange(len(sizes)), sizes)
+        element = _elements(flat, query)
+        order = np.argsort(element, kind="stable")
+        self.queries, element = query[order].astype(np.int32), element[order]
+        starts = np.flatnonzero(np.diff(element, prepend=element[:1] - 1)) if len(element) else np.zeros(0, np.int64)
+        self.items, self.starts, self.ends = element[starts], starts, np.append(starts[1:], len(element))
+        often = np.flatnonzero(8 * (self.ends - self.starts) > len(lengths))
+        self.row = np.full(len(starts), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(lengths)), np.int16)
+        for i, k in enumerate(often):
+            self.rows[i, self.queries[self.starts[k] : self.ends[k]]] = 1
+
+    def counts(self, elements: np.ndarray) -> np.ndarray:
+        """Items in common with every query."""
+        at = np.searchsorted(self.items, elements)
+        near = at < len(self.items)
+        at, elements = at[near], elements[near]
+        at = at[self.items[at] == elements]
+        total = np.zeros(len(self.lengths), np.int16 if len(at) < 2**15 else np.int64)
+        for i in self.row[at]:
+            if i >= 0:
+                total += self.rows[i]
+        rest = [self.queries[self.starts[k] : self.ends[k]] for k in at[self.row[at] < 0]]
+        total = total.astype(np.int64)
+        return total + np.bincount(np.concatenate(rest), minlength=len(total)) if rest else total
+
+
+def _search_kernel(shared, num: int, den: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _Asked(*shared.value)
+        for batch in batches:
+            n, column = batch.column("n").to_numpy(), batch.column("items")
+            sizes = np.diff(column.offsets.to_numpy())
+            flat = _elements(column.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes))
+            ends = np.cumsum(sizes)
+            places, query, both = [], [], []
+            for i in range(len(sizes)):
+                count = asked.counts(flat[ends[i] - sizes[i] : ends[i]])
+                found = np.flatnonzero((count > 0) & (count * (den + num) >= (asked.lengths + n[i]) * num))
+                if len(found):
+                    places.append(np.full(len(found), i))
+                    query.append(found)
+                    both.append(count[found])
+            if places:
+                ids = batch.column("id").take(pa.array(np.concatenate(places)))
+                query, both = np.concatenate(query), np.concatenate(both)
+                similarity = both / (asked.lengths[query] + n[np.concatenate(places)] - both)
+                yield pa.record_batch([pa.array(query, pa.int64()), ids, pa.array(similarity, pa.float64())], names=["q", "b", "similarity"])
+
+    return kernel
+
+
+def counted_search(queries: DataFrame, records: DataFrame, id_col: str, items_col: str, threshold) -> DataFrame | None:
+    """(a, b, similarity) of every query and every record with at least the similarity, or None if the queries have more than HELD items.
+
+    Direct comparison without a join: every task holds the queries of each item
+    and counts a record's items in common with all of them.  Nothing of the
+    records is shuffled or stored.  Nulls count as in ``similar_lists``.
+    """
+    spark = queries.sparkSession
+    t = Fraction(str(threshold))
+    hashed = lambda rows: rows.where(F.col(id_col).isNotNull() & F.col(items_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(items_col).cast("bigint").alias("n"), F.transform(F.array_compact(items_col), lambda x: F.xxhash64(x)).alias("items"))
+    asked = materialize(hashed(queries), "asked")
+    if (asked.agg(F.sum(F.size("items"))).first()[0] or 0) > HELD:
+        return None
+    held, rows = asked.toArrow().combine_chunks(), hashed(records)
+    kind = dict(records.dtypes)[id_col]
+    found = None
+    for lo in range(0, max(1, held.num_rows), PASS):
+        part = held.slice(lo, PASS).combine_chunks()
+        lists = part.column("items").combine_chunks()
+        shared = spark.sparkContext.broadcast((part.column("n").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+        met = rows.mapInArrow(_search_kernel(shared, t.numerator, t.denominator), f"q bigint, b {kind}, similarity double")
+        names = spark.createDataFrame(pa.table({"q": pa.array(range(part.num_rows), pa.int64()), "a": part.column("id")}))
+        met = met.join(F.broadcast(names), "q").select("a", "b", "similarity")  # at most PASS rows
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def search_lists(queries: DataFrame, records: DataFrame, id_col: str, items_col: str, threshold) -> tuple[DataFrame, DataFrame]:
     """Records similar to each query, as two tables.
 

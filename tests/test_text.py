@@ -279,3 +279,33 @@ def test_block_pairs_keep_few_rows_and_meet_in_groups_of_any_size(spark, monkeyp
         found = simhash.block_search(asked, index, "id").collect()
         near = {(a, b) for x, y, _ in wanted for a, b in ((x, y), (y, x)) if a >= "d030"} | {(f"d{i:03}",) * 2 for i in range(30, 36)}
         assert {(r["a"], r["b"]) for r in found} == near and len(found) == len(near)
+
+
+def test_counted_search_equals_brute_force_without_a_join(spark, monkeypatch):
+    """Nulls, empty lists, repeats, and lists of many records; in one pass or several."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    docs = {f"d{i}": [rng.choice("aaabcdefgh") for _ in range(rng.randint(0, 9))] for i in range(40)} | {"null": None, "holes": ["a", None, "b", "c"]}
+    asked = {d: docs[d] for d in ("d1", "d2", "d3", "d5", "holes", "null")} | {"q": ["a", "a", "b"], "none": []}
+    near = lambda x, y, t: (both := sum((Counter(w for w in x if w) & Counter(w for w in y if w)).values())) and both / (len(x) + len(y) - both) >= t and both / (len(x) + len(y) - both)
+    kind = "id string, items array<string>"
+    left, right = (spark.createDataFrame(list(part.items()), kind) for part in (asked, docs))
+    for t in ("0.5", "0.03"):
+        wanted = {(a, b): s for a, x in asked.items() for b, y in docs.items() if x and y and (s := near(x, y, float(t)))}
+        for queries in (100, 3):
+            monkeypatch.setattr(jaccard, "PASS", queries)
+            found = jaccard.counted_search(left, right, "id", "items", t)
+            assert {(r["a"], r["b"]): r["similarity"] for r in found.collect()} == wanted and found.count() == len(wanted)
+    # Before, records met the queries in a join.
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(jaccard, "HELD", 3)
+    assert jaccard.counted_search(left, right, "id", "items", "0.5") is None
+
+
+def test_number_sketches_are_the_heads_of_sketches(spark):
+    frame = spark.createDataFrame([("a", ["x y", "z", None]), ("b", []), (None, ["x"]), ("c", ["q"])], "doc_id string, shingles array<string>")
+    heads = {r["doc_id"]: [int(h[:16], 16) for h in r["sketch"]] for r in minhash.sketches(frame, minhash.salt_words(7)).collect()}
+    found = {r["doc_id"]: [x % 2**64 for x in r["sketch"]] for r in minhash.number_sketches(frame, minhash.salt_words(7)).collect()}
+    assert found == heads and set(found) == {"a", "c"}
