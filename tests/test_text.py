@@ -309,3 +309,34 @@ def test_number_sketches_are_the_heads_of_sketches(spark):
     heads = {r["doc_id"]: [int(h[:16], 16) for h in r["sketch"]] for r in minhash.sketches(frame, minhash.salt_words(7)).collect()}
     found = {r["doc_id"]: [x % 2**64 for x in r["sketch"]] for r in minhash.number_sketches(frame, minhash.salt_words(7)).collect()}
     assert found == heads and set(found) == {"a", "c"}
+
+
+def test_sketch_search_equals_sketches_and_hashes_only_records_that_can_be_similar(spark, monkeypatch):
+    """Nulls, repeats, empty sets, copies, thresholds that are met exactly; in one pass or several."""
+    import hashlib
+    import random
+
+    import pyarrow as pa
+
+    rng, salts = random.Random(10), minhash.salt_words(9)
+    docs = {f"d{i}": [rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 9))] for i in range(40)} | {f"far{i}": [f"x{i}", "y"] for i in range(5)}
+    docs |= {"copy": docs["d1"], "holes": ["a", None, "b", "b"], "null": None, "none": [], None: ["a"]}
+    asked = {d: docs[d] for d in ("d1", "d2", "d3", "holes", "null", "none", None)} | {"q": ["a", "b"]}
+    least = {d: [min(hashlib.sha256(f"{x} {w}".encode()).digest() for x in part if x) for w in salts] for d, part in (docs | asked).items() if part and d}
+    left, right = (spark.createDataFrame(list(part.items()), "doc_id string, shingles array<string>") for part in (asked, docs))
+    for t, need in (("0.5", 6), ("0.2", 3), ("0", 1)):
+        wanted = {(a, b): same / (18 - same) for a in asked if a in least for b in docs if b in least and (same := sum(x == y for x, y in zip(least[a], least[b]))) >= need}
+        for queries in (100, 2):
+            monkeypatch.setattr(minhash, "PASS", queries)
+            found = minhash.sketch_search(left, right, salts, t).collect()
+            assert {(r["a"], r["b"]): r["similarity"] for r in found} == wanted and len(found) == len(wanted)
+    monkeypatch.setattr(minhash, "HELD", 3)
+    assert minhash.sketch_search(left, right, salts, "0.5") is None
+    # Before, every record was hashed with every salt.
+    hashed = []
+    monkeypatch.setitem(minhash.FAMILIES, "sha256", lambda x=b"": hashed.append(x) or hashlib.sha256(x))
+    one = pa.table({"a": ["q"], "sketch": pa.array([[int.from_bytes(h[:8], signed=True) for h in least["q"]]], pa.list_(pa.int64())), "least": [[min("ab", key=lambda x: hashlib.sha256(f"{x} {w}".encode()).digest()) for w in salts]]})  # noqa: B023
+    shared = type("Shared", (), {"value": minhash._by_shingle(one, len(salts))})
+    batch = pa.record_batch([pa.array(["far", "near"]), pa.array([["x", "y", "z"], ["b", "a"]])], names=["doc_id", "_set"])
+    found = pa.Table.from_batches(minhash._partner_kernel(shared, salts, 6, "sha256", "doc_id")(iter([batch]))).to_pylist()
+    assert found == [{"q": 0, "b": "near", "similarity": 1.0}] and {x[:1] for x in hashed if x} == {b"a", b"b"}
