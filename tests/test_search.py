@@ -207,3 +207,21 @@ def test_only_the_best_of_a_block_leave_it_and_no_plan_choice_changes_them(spark
     sums = search.best_sums(one, one.selectExpr("query_id", "term", "1.0D AS weight"), built, F.col("tf") * 1.0, 5)
     # Before, a row of each of the 80 reviews went to the shuffle.
     assert sums.count() <= 5 * len({r["tf"] for r in built.postings.where("term = 'the'").collect()})
+
+
+def test_the_best_are_found_without_ordering_all_scores(monkeypatch):
+    """Ties, copies, untouched places and any number of scores, against a sort; before, each query partitioned all scores of a block."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    for n in (3, 39, 320, 321, 1000, 5000):
+        for scores in (rng.random(n), rng.integers(0, 4, n) / 3, np.where(rng.random(n) < 0.01, rng.random(n), 0.0), np.zeros(n), np.repeat(rng.random(), n) + 1e-7 * rng.integers(0, 9, n)):
+            ids, touched = rng.permutation(n), np.flatnonzero((scores > 0) | (rng.random(n) < 0.3))
+            best = search._best(scores, lambda: touched, ids, 10)  # noqa: B023
+            rounded = sorted(((-round(float(scores[i]), 6), int(ids[i])) for i in touched))[:10]
+            assert sorted((-round(float(scores[i]), 6), int(ids[i])) for i in best)[:10] == rounded and set(best) <= set(touched) | set(np.flatnonzero(scores > 0))
+    sizes = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *x: sizes.append(len(a)) or partition(a, *x))
+    search._best(rng.random(60_000), None, np.arange(60_000), 10)
+    assert max(sizes) < 6_000
