@@ -225,3 +225,36 @@ def test_the_best_are_found_without_ordering_all_scores(monkeypatch):
     monkeypatch.setattr(np, "partition", lambda a, *x: sizes.append(len(a)) or partition(a, *x))
     search._best(rng.random(60_000), None, np.arange(60_000), 10)
     assert max(sizes) < 6_000
+
+
+def test_a_bound_from_a_sample_keeps_the_best_and_drops_the_rest_in_the_tasks(spark, monkeypatch):
+    """Against the sums by rows, with blocks of like length; before, every block sent its k best of each query to the shuffle."""
+    import random
+
+    rng = random.Random(9)
+    words = ["the", "a", "b", "c", "d", "e", "f", "g", "h"]
+    texts = [" ".join(rng.choices(words, [30, 12, 8, 5, 4, 3, 2, 1, 1], k=rng.randint(1, 30))) for _ in range(180)] + ["the a b"] * 20
+    rows = [(i, "P", 0, 0, 3, t, 0) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    frame = spark.createDataFrame(rows, "review_id bigint, product_id string, helpfulness_num int, helpfulness_den int, score int, text string, loaded_at bigint")
+    built = ix.build_index(ix.latest_reviews(frame))
+    built = ix.Index(*[storage.materialize(getattr(built, n), n) for n in ("reviews", "postings", "lexicon", "corpus")])
+    asked = [(q, t) for q in range(15) for t in rng.choices(words, k=rng.randint(1, 9))] + [(3, "lacking"), (90, "the"), (None, "h")]
+    queries = spark.createDataFrame([(q, i, t) for i, (q, t) in enumerate(asked)], "query_id bigint, pos int, term string")
+    plain = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    columns = ["query_id", "rank", "review_id", "score"]
+    for name, size in (("REVIEWS", 9), ("FEW_REVIEWS", 9), ("SAMPLE", 40), ("QUERIES", 10)):
+        monkeypatch.setattr(search, name, size)
+    assert plain(search.vector_space_search(queries, built, 3, exact_idf=True)) == plain(search.top_k(search.vector_space_scores(queries, built, exact_idf=True), "review_id", 3).select(columns))
+    assert plain(search.language_model_search(queries, built, 0.2, 3)) == plain(search.top_k(search.language_model_scores(queries, built, 0.2), "review_id", 3).select(columns))
+    one = spark.createDataFrame([(1, "the")], "query_id bigint, term string")
+    sums = search.best_sums(one, one.selectExpr("query_id", "term", "1.0D AS weight"), built, F.col("tf") * 1.0, 1)
+    assert sums.count() < 12  # of 23 blocks or more
+
+
+def test_terms_of_a_review_are_counted_in_its_row(spark):
+    rows = [(1, "Good good dog, a Dog! good"), (2, ""), (3, None), (4, "one")]
+    frame = spark.createDataFrame([(i, "P", 0, 0, 3, t, 0) for i, t in rows], "review_id bigint, product_id string, helpfulness_num int, helpfulness_den int, score int, text string, loaded_at bigint")
+    latest = ix.latest_reviews(frame)
+    found = ix.indexed_reviews(latest)
+    assert sorted((r["review_id"], t["term"], t["tf"]) for r in found.collect() for t in r["terms"]) == sorted((r["review_id"], r["term"], r["tf"]) for r in ix.term_frequencies(latest).collect())
+    assert {r["review_id"]: r["length"] for r in found.collect()} == {1: 6, 2: 0, 3: 0, 4: 1}
