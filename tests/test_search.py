@@ -258,3 +258,38 @@ def test_terms_of_a_review_are_counted_in_its_row(spark):
     found = ix.indexed_reviews(latest)
     assert sorted((r["review_id"], t["term"], t["tf"]) for r in found.collect() for t in r["terms"]) == sorted((r["review_id"], r["term"], r["tf"]) for r in ix.term_frequencies(latest).collect())
     assert {r["review_id"]: r["length"] for r in found.collect()} == {1: 6, 2: 0, 3: 0, 4: 1}
+
+
+def _random_block(seed):
+    """A block of 400 reviews with 30 terms, dense and rare ones, and its values as a table of reviews by terms."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    values = np.where(rng.random((400, 30)) < np.geomspace(0.9, 0.01, 30), rng.random((400, 30)) + 0.1, 0.0)
+    review, no = np.nonzero(values)
+    order = rng.permutation(len(no))
+    rows = pa.table({"review_id": review[order], "no": no[order], "value": values[review, no][order]})
+    return rng, values, search._Block(rows, np.arange(30))
+
+
+def test_only_what_can_reach_a_bound_is_added_up():
+    """Against all sums; before, each query added up all reviews of a block."""
+    import numpy as np
+
+    few = 0
+    for seed in range(30):
+        rng, values, block = _random_block(seed)
+        terms = sorted(rng.choice(30, rng.integers(1, 12), replace=False).tolist())
+        held = block.held(terms, (rng.random(len(terms)) + 0.01).tolist())
+        sums = sum(w * values[:, t] for t, w in held)
+        for least in np.sort(sums)[[-1, -5, -40]].tolist():
+            if least <= 0:
+                continue
+            near = block.reaching(held, least)
+            assert set(block.ids[near]) >= set(np.flatnonzero(sums >= least)) and len(set(near)) == len(near)
+            assert np.array_equal(block.sums(near, held), block.all_sums(held)[near])
+            few += len(near) < 200
+            best = block.best(held, least, 5)[1]
+            assert sorted(best)[-5:] == sorted(block.all_sums(held)[block.all_sums(held) >= least])[-5:]
+    assert few > 60
