@@ -293,3 +293,20 @@ def test_only_what_can_reach_a_bound_is_added_up():
             best = block.best(held, least, 5)[1]
             assert sorted(best)[-5:] == sorted(block.all_sums(held)[block.all_sums(held) >= least])[-5:]
     assert few > 60
+
+
+def test_a_bound_is_a_score_that_k_reviews_have():
+    """Of any terms, also when the rarer ones are in few reviews; before, a task knew no score of other reviews."""
+    import numpy as np
+
+    near = 0
+    for seed in range(30):
+        rng, values, block = _random_block(100 + seed)
+        terms = sorted(rng.choice(30, rng.integers(1, 12), replace=False).tolist())
+        held = block.held(terms, rng.choice([0.0, 0.3, 0.7, 1.0], len(terms)).tolist())
+        sums = np.sort(block.all_sums(held))
+        for k in (1, 5, 10, 500):
+            bound = block.bound(held, k)
+            assert bound <= (sums[-k] if k <= len(sums) else 0.0)
+            near += k == 10 and bound >= 0.8 * sums[-k]
+    assert near > 20
