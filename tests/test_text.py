@@ -340,3 +340,22 @@ def test_sketch_search_equals_sketches_and_hashes_only_records_that_can_be_simil
     batch = pa.record_batch([pa.array(["far", "near"]), pa.array([["x", "y", "z"], ["b", "a"]])], names=["doc_id", "_set"])
     found = pa.Table.from_batches(minhash._partner_kernel(shared, salts, 6, "sha256", "doc_id")(iter([batch]))).to_pylist()
     assert found == [{"q": 0, "b": "near", "similarity": 1.0}] and {x[:1] for x in hashed if x} == {b"a", b"b"}
+
+
+def test_hashes_of_shingles_are_kept_from_task_to_task(monkeypatch):
+    """Before, every task hashed again what the one before it in the same worker had hashed."""
+    import hashlib
+
+    import pyarrow as pa
+
+    hashed = []
+    monkeypatch.setitem(minhash.FAMILIES, "counted", lambda x=b"": hashed.append(x) or hashlib.sha256(x))
+    kernel = minhash._trial_kernel(minhash.salt_words(20), [3, 20], ["1", "0.5"], "counted", "doc_id")
+    sets = [[["a b", "b c", "c d"], ["a b", "b c", "c d"], ["x b", "b c", "c d"]]]
+    task = lambda: [b.to_pydict() for b in kernel(iter([pa.record_batch([["d"], sets], names=["doc_id", "_sets"])]))]
+    first, n = task(), len(hashed)
+    assert n >= 4 * 20 and task() == first and len(hashed) == n
+    plain = minhash._kernel(minhash.salt_words(20), "sha256", "doc_id")
+    own, other = (next(plain(iter([pa.record_batch([["d"], [x]], names=["doc_id", "_set"])]))).to_pydict()["sketch"][0] for x in (sets[0][0], sets[0][2]))
+    same = sum(a == b for a, b in zip(own, other))
+    assert first[0]["estimate"] == [1.0, 1.0, sum(a == b for a, b in zip(own[:3], other[:3])) / (6 - sum(a == b for a, b in zip(own[:3], other[:3]))), same / (40 - same)]
