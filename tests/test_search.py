@@ -310,3 +310,29 @@ def test_a_bound_is_a_score_that_k_reviews_have():
             assert bound <= (sums[-k] if k <= len(sums) else 0.0)
             near += k == 10 and bound >= 0.8 * sums[-k]
     assert near > 20
+
+
+def test_what_can_reach_a_bound_is_found_by_sums_in_bytes(monkeypatch):
+    """Against all sums, by masks, lists and exceptions; before, a query's other terms were looked up one by one for each place."""
+    import numpy as np
+
+    few, asked = 0, []
+    monkeypatch.setattr(search, "FEW_ROWS", 0)
+    for masked in (128, 4, 1):
+        monkeypatch.setattr(search, "MASKED", masked)
+        for seed in range(20):
+            rng, values, block = _random_block(200 + seed)
+            monkeypatch.setattr(block, "add", lambda *x: asked.append(x))
+            terms = sorted(rng.choice(30, rng.integers(1, 12), replace=False).tolist())
+            held = block.held(terms, rng.choice([0.0, 0.01, 0.5, 1.0, 3.0], len(terms)).tolist())
+            sums = block.all_sums(held)
+            for least in np.unique(sums)[[-1, -5, -40] if len(np.unique(sums)) > 40 else [-1]].tolist():
+                if least <= 0:
+                    continue
+                near = block.near(held, least)
+                assert set(near) >= set(np.flatnonzero(sums >= least)) and len(set(near)) == len(near)
+                assert np.array_equal(block.scores(near, held), sums[near])
+                at, found = block.best(held, least, 5)
+                assert np.array_equal(sums[at], found) and sorted(found)[-5:] == sorted(sums[sums >= least])[-5:]
+                few += len(near) < 3 * (sums >= least).sum() + 10
+    assert few > 80 and not asked
