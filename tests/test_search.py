@@ -336,3 +336,19 @@ def test_what_can_reach_a_bound_is_found_by_sums_in_bytes(monkeypatch):
                 assert np.array_equal(sums[at], found) and sorted(found)[-5:] == sorted(sums[sums >= least])[-5:]
                 few += len(near) < 3 * (sums >= least).sum() + 10
     assert few > 80 and not asked
+
+
+def test_blocks_that_give_most_come_first(monkeypatch):
+    """Then the others find nothing above the bound; before, the last block came first."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    seen, block = [], search._Block
+    monkeypatch.setattr(search, "_Block", lambda rows, nos: seen.append(rows.column("r")[0].as_py()) or block(rows, nos))
+    asked = search._asked(pa.table({"query_id": [7, 7], "asked": [1, 3], "weight": [1.0, 0.5]}))
+    rows = pa.table({"r": [0, 0, 1, 1, 2, 2], "review_id": [10, 11, 20, 21, 30, 31], "no": [1, 3, 1, 9, 3, 9], "value": [2.0, 2.0, 3.0, 9.0, 1.0, 9.0]})
+    found = search._kernel(types.SimpleNamespace(value=asked), types.SimpleNamespace(value=np.zeros(1)), 1)(rows)
+    assert seen == [0, 1, 2]
+    assert found.to_pylist() == [{"query_id": 7, "review_id": 20, "raw": 3.0}]
